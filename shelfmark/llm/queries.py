@@ -5,18 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Listed URL rules of op7: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int) -> F.Column:
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.pq import pq_links
+
+    return pq_links(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.simhash import simhash_groups
 
     return simhash_groups(table(spark, sf_dir, "documents"), words=4, bits=4)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    scored = quality.score(docs.withColumn("held_out", F.coalesce(remainder(3) == 1, F.lit(False))), model, ["doc_id", "held_out", "text"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm import sharding
+
+    placed = sharding.shards(sharding.digest(table(spark, sf_dir, "documents")), 16, order=("doc_id", "text_crc32", "size"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, remainder(4) != 2))
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.urlrules import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm import mixing
+    from shelfmark.llm.common import materialize
+
+    planned = mixing.plan(materialize(mixing.sized(table(spark, sf_dir, "documents"))))
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
