@@ -27,3 +27,16 @@ def ngram_ids(text: str, orders: tuple[int, ...], bits: int) -> np.ndarray:
     order = np.arange(len(ids), dtype=np.int32)
     seen[ids] = order  # of equal ids one writes last, and stands for all
     return ids[seen[ids] == order]
+
+
+def pattern_ids(text: str) -> np.ndarray:
+    """Distinct n-grams of four words with each word replaced by where it occurs first among the four: which of the six pairs are equal, as a number below 64."""
+    words = text.split()
+    if len(words) < 4:
+        return np.empty(0, np.uint32)
+    h = np.fromiter(map(hash, words), np.int64, len(words))
+    a = [h[k : len(h) - 3 + k] for k in range(4)]
+    code = np.zeros(len(h) - 3, np.uint32)
+    for bit, (i, j) in enumerate(((0, 1), (1, 2), (2, 3), (0, 2), (1, 3), (0, 3))):
+        code |= (a[i] == a[j]).astype(np.uint32) << np.uint32(bit)
+    return np.flatnonzero(np.bincount(code, minlength=64)).astype(np.uint32)

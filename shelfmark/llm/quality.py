@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-Indicators of character n-grams are scaled by the log ratio of their smoothed class counts; a linear hinge
-loss is then fitted by dual coordinate descent, and the whole text is scored with the product of both.
+Indicators of character n-grams, and of word n-grams reduced to which of their words are equal, are scaled
+by the log ratio of their smoothed class counts; a linear hinge loss is then fitted by dual coordinate descent, and the whole text is scored with the product of both.
 
 The model is fitted on a bounded sample: at most PER_CLASS labelled documents of each class, the first by a
 seeded hash of doc_id. Everything else covers every document and its whole text. Text is the only input.
@@ -23,10 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import bounded_batches
-from shelfmark.llm.ngrams import ngram_ids
+from shelfmark.llm.ngrams import ngram_ids, pattern_ids
 
 PER_CLASS = 4000
 ORDERS, BITS = (1, 2, 3), 18
+WIDTH = (1 << BITS) + 64
+
+
+def features(text: str | None) -> np.ndarray:
+    return np.concatenate((ngram_ids(text or "", ORDERS, BITS), pattern_ids(text or "") + np.uint32(1 << BITS)))
 
 
 @dataclass
@@ -37,7 +42,7 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
         for k, text in enumerate(texts):
-            ids = ngram_ids(text or "", ORDERS, BITS)
+            ids = features(text)
             if len(ids):
                 out[k] += self.weights[ids].sum() / np.sqrt(len(ids))
         return 1 / (1 + np.exp(-2 * np.clip(out, -300, 300)))
@@ -65,11 +70,11 @@ def hinge_dual(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: f
     return w, bias
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 3) -> Model:
+def train(rows: list[np.ndarray], labels: np.ndarray, cost: float = 4.0, rounds: int = 20, seed: int = 3) -> Model:
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.5
-        return Model(np.zeros(1 << BITS), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)) / 2))
-    counts = {c: np.ones(1 << BITS) for c in (0, 1)}
+        return Model(np.zeros(WIDTH), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)) / 2))
+    counts = {c: np.ones(WIDTH) for c in (0, 1)}
     for ids, c in zip(rows, labels, strict=True):
         counts[int(c)][ids] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
@@ -85,14 +90,14 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int =
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     parts = [known.where(F.col("label") == c).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.sort(ngram_ids(t or "", ORDERS, BITS)).tobytes() for t in b.column(2).to_pylist()]
+            ids = [np.sort(features(t)).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["doc_id", "label", "ids"])
 
     chosen = parts[0].unionByName(parts[1])  # at most 2 x per_class rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, ids binary")
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(collect, "doc_id long, label int, ids binary")
     got = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("ids").alias("ids")).toPandas().sort_values("doc_id")
     rows = [np.frombuffer(x, np.uint32) for x in got["ids"]]
     return train(rows, got["label"].to_numpy(np.int64), seed=seed)
