@@ -48,6 +48,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op5_mainhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.mainhtml import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm import langid
 
@@ -62,6 +68,19 @@ def op7_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.substring import without_copies
+
+    found = without_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm import mixing
     from shelfmark.llm.common import materialize
