@@ -30,7 +30,7 @@ SAMPLE = 20_000
 MAX_LISTS = 1024
 MEMBERS, QUERIES = 2048, 2048
 #: Standard deviations of a random displacement of the link distance, towards one given direction.
-PROBE = 4.5
+PROBE = 3.0
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -53,7 +53,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def fit(x: np.ndarray, n: int, subspaces: int, seed: int) -> dict:
     """Codebooks from unit vectors x of a corpus of n."""
     rng = np.random.default_rng(seed)
-    lists = int(min(MAX_LISTS, max(1, n // 200), max(1, len(x) // 8)))
+    lists = int(min(MAX_LISTS, max(1, n // 128), max(1, len(x) // 8)))
     coarse = kmeans(x, lists, 8, rng)
     residual = x - coarse[nearest(x, coarse)]
     d = x.shape[1]
@@ -73,8 +73,8 @@ def encode(residual: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tables(query: np.ndarray, model: dict) -> list[np.ndarray]:
-    """Squared distances from each query residual's parts to every codeword."""
-    return [((query[:, a:b] ** 2).sum(1)[:, None] - 2 * query[:, a:b] @ book.T + (book**2).sum(1)) for a, b, book in zip(model["cuts"][:-1], model["cuts"][1:], model["books"], strict=True)]
+    """Squared distances of every codeword (rows) from each query residual's parts (columns)."""
+    return [((book**2).sum(1)[:, None] - 2 * book @ query[:, a:b].T + (query[:, a:b] ** 2).sum(1)).astype(np.float32) for a, b, book in zip(model["cuts"][:-1], model["cuts"][1:], model["books"], strict=True)]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -118,10 +118,10 @@ def _cell(model: dict, threshold: float):
             for at in range(0, len(que), 256):
                 q = que[at : at + 256]
                 look = tables(vec[q] - model["coarse"][lst], model)
-                adc = np.zeros((len(q), len(mem)))
-                for m, table in enumerate(look):
-                    adc += table[:, codes[:, m]]
-                i, j = np.nonzero(adc <= (eps + error[mem] + 1e-6) ** 2)
+                adc = np.zeros((len(mem), len(q)), np.float32)
+                for m, table in enumerate(look):  # whole rows of a table are copied at a time
+                    adc += table[codes[:, m]]
+                j, i = np.nonzero(adc <= ((eps + error[mem] + 1e-4) ** 2)[:, None])
                 real = rep[q[i]] != rep[mem[j]]
                 i, j = i[real], j[real]
                 near = np.concatenate([(vec[q[i[k : k + 65536]]] * vec[mem[j[k : k + 65536]]]).sum(1) for k in range(0, len(i), 65536)] or [np.empty(0)]) >= threshold
