@@ -1,15 +1,19 @@
-"""Removal of passages that an earlier document already holds.
-
-A window is WINDOW consecutive words. Its 64-bit hash is a polynomial of the bytes of its words joined by one
-space, read off prefix sums, so that all windows of a text cost one pass of array code. Per batch of documents
-equal windows are combined: the smallest doc_id speaks for the batch, and the others already know that they are
-copies. What is left is packed by bucket of the hash, one row for each batch and bucket, and each bucket
-finds the windows whose smallest doc_id is another document's. The answers go back packed by bucket of doc_id
-and meet the texts there. A passage in very many documents thus reaches a bucket once per batch, not
-once per document, and no row is made per window or per pair.
-
-Every window of every document is compared. Two different windows count as one if 56 bits of their hashes and
-the bucket agree; for n windows that is expected n * n / 2 ** 57 / buckets times, 1e-3 for 10^8 windows.
+"""Removal of passages that an earlier document already holds, by suffix automata of reference shards.
+
+1. Routing. Every window of WINDOW words gets a 64-bit hash, a polynomial of its bytes read off prefix sums. Per
+   batch of documents equal windows are combined: the smallest doc_id speaks for the batch. What is left is packed
+   by bucket of the hash, one row for each batch and bucket; a bucket tells each document which windows have an
+   owner, a document with a smaller id, and each owner which of its windows others hold.
+2. References. Owned windows, run together to passages, are the references; they are as large as the repeated
+   part of the corpus taken once, and are dealt into shards by owner. Passages that have an owner go to its shard.
+3. Automata. Each shard's references become one suffix automaton of words whose states know the smallest
+   document they occur in. The passages stream through it; matching statistics of WINDOW words or more in a
+   smaller document mark the words to remove. The automaton compares words, so equal hashes of different
+   windows remove nothing. A shard that many documents stream against goes to as many tasks as it needs.
+4. The marked words are cut from the texts.
+
+Automata of the whole corpus sent to every executor would neither fit nor scale (every document against every
+shard); the routing sends a document only to the shards that can hold its passages.
 
 Null and empty texts have no words. A document with a null doc_id has nothing removed and removes nothing.
 Rows with one doc_id are judged alike and do not remove each other's words. Extra columns are ignored.
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded_batches
+from shelfmark.llm.common import bounded_batches, materialize
 
 WINDOW = 13
 #: Bytes of text whose windows are combined at once.
@@ -69,21 +73,28 @@ def window_hashes(words: list[bytes], window: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def pack(docs: np.ndarray, hashes: np.ndarray) -> bytes:
-    """Both sorted by docs: ids once each as differences, their counts, 7 bytes of each hash."""
-    ids, counts = np.unique(docs, return_counts=True)
+def pack(docs: np.ndarray, owners: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Sorted by docs and owners: each pair once, as differences of docs and distances to owners, their counts, 7 bytes of each hash."""
+    new = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (owners[1:] != owners[:-1]))))
+    counts = np.diff(np.append(new, len(docs))).astype(np.int32)
     low = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :7]
-    return np.int64(len(ids)).tobytes() + np.diff(ids, prepend=np.int64(0)).tobytes() + counts.astype(np.int32).tobytes() + low.tobytes()
+    return np.int64(len(new)).tobytes() + np.diff(docs[new], prepend=np.int64(0)).tobytes() + (docs[new] - owners[new]).tobytes() + counts.tobytes() + low.tobytes()
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    ids = np.cumsum(np.frombuffer(blob, np.int64, n, 8))
-    counts = np.frombuffer(blob, np.int32, n, 8 + 8 * n)
-    low = np.frombuffer(blob, np.uint8, -1, 8 + 12 * n).reshape(-1, 7)
-    full = np.zeros((len(low), 8), np.uint8)
-    full[:, :7] = low
-    return np.repeat(ids, counts), full.view(np.uint64).ravel()
+def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """docs, owners, hashes (their lower 56 bits) of all blobs."""
+    out: tuple[list, list, list] = ([], [], [])
+    for blob in blobs:
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        docs = np.cumsum(np.frombuffer(blob, np.int64, n, 8))
+        owners = docs - np.frombuffer(blob, np.int64, n, 8 + 8 * n)
+        counts = np.frombuffer(blob, np.int32, n, 8 + 16 * n)
+        low = np.frombuffer(blob, np.uint8, -1, 8 + 20 * n).reshape(-1, 7)
+        full = np.zeros((len(low), 8), np.uint8)
+        full[:, :7] = low
+        for k, part in enumerate((np.repeat(docs, counts), np.repeat(owners, counts), full.view(np.uint64).ravel())):
+            out[k].append(part)
+    return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.int64, np.int64, np.uint64), strict=True))
 
 
 def prime(n: int) -> int:
@@ -93,45 +104,45 @@ def prime(n: int) -> int:
     return n
 
 
-def packed(kind: int, bucket: np.ndarray, docs: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int, bytes]]:
+def packed(kind: int, bucket: np.ndarray, docs: np.ndarray, owners: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int, bytes]]:
     """(kind, bucket, blob) for each bucket that has rows."""
     if not len(docs):
         return []
-    order = np.lexsort((docs, bucket))
-    bucket, docs, hashes = bucket[order], docs[order], hashes[order]
+    order = np.lexsort((owners, docs, bucket))
+    bucket, docs, owners, hashes = bucket[order], docs[order], owners[order], hashes[order]
     at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     to = np.append(at[1:], len(bucket))
-    return [(kind, int(bucket[a]), pack(docs[a:b], hashes[a:b])) for a, b in zip(at.tolist(), to.tolist(), strict=True)]
+    return [(kind, int(bucket[a]), pack(docs[a:b], owners[a:b], hashes[a:b])) for a, b in zip(at.tolist(), to.tolist(), strict=True)]
 
 
 def rows_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["kind", "bucket", "blob"])
 
 
-def copies(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by hash and doc, and for each row of that order whether a smaller doc has the hash."""
+def owned(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (doc, hash), the smallest doc of each hash, and whether the hash has another doc."""
     order = np.lexsort((docs, hashes))
-    h, d = hashes[order], docs[order]
-    first = np.concatenate(([True], h[1:] != h[:-1]))
-    least = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-    return order, d != least
+    docs, hashes = docs[order], hashes[order]
+    new = np.ones(len(docs), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
+    docs, hashes = docs[new], hashes[new]
+    first = np.ones(len(docs), bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    group = np.cumsum(first) - 1
+    return docs, hashes, docs[first][group], np.bincount(group, minlength=1)[group] > 1 if len(docs) else np.empty(0, bool)
 
 
-def _scan(window: int, buckets: int):
+def _scan(window: int, buckets: int, doc_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         found: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            docs, hashes = np.repeat(np.array(ids, np.int64), [len(f) for f in found]), np.concatenate(found)
-            order, copy = copies(docs, hashes)
-            docs, hashes = docs[order], hashes[order]
-            new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])))
-            asked, known = new & ~copy, new & copy
-            rows = packed(0, ((hashes[asked] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32), docs[asked], hashes[asked])
-            rows += packed(1, (docs[known] % buckets).astype(np.int32), docs[known], hashes[known])
-            return rows_of(rows)
+            docs, hashes, least, several = owned(np.repeat(np.array(ids, np.int64), [len(f) for f in found]), np.concatenate(found))
+            ask = docs == least
+            rows = packed(0, ((hashes[ask] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32), docs[ask], docs[ask], hashes[ask])
+            return rows_of(rows + packed(1, (docs[several] % doc_buckets).astype(np.int32), docs[several], least[several], hashes[several]))
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -151,79 +162,246 @@ def _scan(window: int, buckets: int):
     return run
 
 
-def _answer(buckets: int):
+def _answer(doc_buckets: int):
+    """Rows of kind 0, bucket by bucket, become answers (doc, owner, hash) by bucket of doc; those of kind 1 are answers already. Answers are packed anew some millions at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = -1, []
+        now, blobs, ready, held = -1, [], [], 0
 
-        def answer() -> list[tuple[int, int, bytes]]:
-            parts = [unpack(x) for x in blobs]
-            docs, hashes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            order, copy = copies(docs, hashes)
-            docs, hashes = docs[order][copy], hashes[order][copy]
-            return packed(1, (docs % buckets).astype(np.int32), docs, hashes)
+        def answer() -> None:
+            nonlocal blobs, held
+            docs, _, hashes = unpack(blobs)
+            docs, hashes, least, several = owned(docs, hashes)
+            ready.append((docs[several], least[several], hashes[several]))
+            held += int(several.sum())
+            blobs = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal ready, held
+            docs, owners, hashes = (np.concatenate([r[k] for r in ready]) for k in range(3))
+            ready, held = [], 0
+            return rows_of(packed(1, (docs % doc_buckets).astype(np.int32), docs, owners, hashes))
 
         for b in batches:
-            passed = []
             for kind, bucket, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind:
-                    passed.append((kind, bucket, blob))
-                    continue
-                if bucket != now and blobs:
-                    passed += answer()
-                    blobs = []
-                now = bucket
-                blobs.append(blob)
-            if passed:
-                yield rows_of(passed)
+                    ready.append(unpack([blob]))
+                    held += len(ready[-1][0])
+                else:
+                    if bucket != now and blobs:
+                        answer()
+                    now = bucket
+                    blobs.append(blob)
+                if held > 3_000_000:
+                    yield flush()
         if blobs:
-            yield rows_of(answer())
+            answer()
+        if ready:
+            yield flush()
 
     return run
 
 
-def _cut(window: int):
+def _by_doc(docs: np.ndarray, *columns: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
+    """Columns by doc, each in the order given; docs are sorted."""
+    if not len(docs):
+        return {}
+    at = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
+    return dict(zip(docs[at].tolist(), zip(*(np.split(c, at[1:]) for c in columns), strict=True), strict=True))
+
+
+def _passages(window: int, shards: int):
+    """Runs of windows that have an owner (role 1, by the owner's shard) and of windows that others hold (role 0)."""
+    fields = (("shard", pa.int32()), ("role", pa.int32()), ("doc", pa.int64()), ("row", pa.int64()), ("firsts", pa.list_(pa.int64())), ("n_words", pa.int64()), ("words", pa.binary()))
+
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        known: dict[int, np.ndarray] = {}
-        if right.num_rows:
-            parts = [unpack(x) for x in right.column("blob").to_pylist()]
-            docs, hashes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            order = np.lexsort((hashes, docs))
-            docs, hashes = docs[order], hashes[order]
-            ids, at = np.unique(docs, return_index=True)
-            known = dict(zip(ids.tolist(), np.split(hashes, at[1:]), strict=True))
-        n, gone, kept, spans = [], [], [], []
-        for doc, text in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True):
+        docs, owners, hashes = unpack(right.column("blob").to_pylist())
+        out: list[tuple] = []
+
+        def by_doc(chosen: np.ndarray) -> dict:
+            d, o, h = docs[chosen], owners[chosen], hashes[chosen]
+            order = np.lexsort((o, h, d))
+            return _by_doc(d[order], h[order], o[order])
+
+        copied, lent = by_doc(owners != docs), by_doc(owners == docs)
+        seen = set()
+        for doc, row, text in zip(*(left.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+            if doc not in copied and doc not in lent or (doc, row) in seen:
+                continue
+            seen.add((doc, row))
             words = split(text)
-            copied = known.get(doc)
-            cover = np.zeros(len(words) + 1, np.int32)
-            if copied is not None:
-                own = window_hashes(words, window) & _MASK
-                at = np.minimum(np.searchsorted(copied, own), len(copied) - 1)
-                hit = np.flatnonzero(copied[at] == own)
-                np.add.at(cover, hit, 1)
-                np.add.at(cover, hit + window, -1)
-            out = np.cumsum(cover[:-1]) > 0
-            n.append(len(words))
-            gone.append(int(out.sum()))
-            kept.append(b" ".join(compress(words, (~out).tolist()) if gone[-1] else words))
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], out.view(np.int8), [0]))))
-            spans.append([{"first": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
-        span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, span)})
+            own = window_hashes(words, window) & _MASK
+            if not len(own):
+                continue
+            for role, found in ((1, copied.get(doc)), (0, lent.get(doc))):
+                if found is None:
+                    continue
+                at = np.searchsorted(found[0], own)  # the first of equal hashes has the smallest owner
+                at[at == len(found[0])] = 0
+                owner = np.where(found[0][at] == own, found[1][at], -1)
+                edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                parts: dict[int, list[tuple[int, int]]] = {}
+                for a, b in zip(edge.tolist(), np.append(edge[1:], len(owner)).tolist(), strict=True):
+                    if owner[a] >= 0:
+                        parts.setdefault(int(owner[a]) % shards, []).append((a, b + window - 1))
+                for shard, spans in parts.items():
+                    out.append((shard, role, doc, row, [a for a, _ in spans], sum(b - a for a, b in spans), b"\n".join(b" ".join(words[a:b]) for a, b in spans)))
+        cols = list(zip(*out, strict=True)) if out else [[]] * len(fields)
+        return pa.table({name: pa.array(c, t) for (name, t), c in zip(fields, cols, strict=True)})
 
     return run
 
 
+class Automaton:
+    """Suffix automaton of several passages of words; a state knows the smallest document that any of its strings ends in."""
+
+    def __init__(self) -> None:
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length, self.least = [-1], [0], [1 << 63]
+        self.ids: dict[bytes, int] = {}
+
+    def _state(self, length: int, link: int, arcs: dict[int, int], least: int) -> int:
+        self.next.append(arcs)
+        self.link.append(link)
+        self.length.append(length)
+        self.least.append(least)
+        return len(self.link) - 1
+
+    def add(self, doc: int, words: list[bytes]) -> None:
+        nxt, link, length, least, ids = self.next, self.link, self.length, self.least, self.ids
+        last = 0
+        for word in words:
+            c = ids.setdefault(word, len(ids))
+            q = nxt[last].get(c)
+            if q is not None and length[q] == length[last] + 1:  # an earlier passage has been here
+                last = q
+            else:
+                new = -1 if q is not None else self._state(length[last] + 1, 0, {}, 1 << 63)
+                p = last
+                if q is None:
+                    while p >= 0 and c not in nxt[p]:
+                        nxt[p][c] = new
+                        p = link[p]
+                    q = nxt[p][c] if p >= 0 else None
+                if q is None:
+                    last = new
+                elif length[q] == length[p] + 1:
+                    link[new] = q
+                    last = new
+                else:
+                    twin = self._state(length[p] + 1, link[q], dict(nxt[q]), least[q])
+                    while p >= 0 and nxt[p].get(c) == q:
+                        nxt[p][c] = twin
+                        p = link[p]
+                    link[q] = twin
+                    if new >= 0:
+                        link[new] = twin
+                        last = new
+                    else:
+                        last = twin
+            if doc < least[last]:
+                least[last] = doc
+
+    def finish(self) -> None:
+        """What ends in a state ends in those it links to."""
+        link, least = self.link, self.least
+        for s in sorted(range(1, len(link)), key=self.length.__getitem__, reverse=True):
+            if least[s] < least[link[s]]:
+                least[link[s]] = least[s]
+
+    def covered(self, doc: int, words: list[bytes], window: int) -> list[int]:
+        """Places where a run of window words ends that a smaller document holds."""
+        nxt, link, length, least, ids = self.next, self.link, self.length, self.least, self.ids
+        s = n = 0
+        out = []
+        for i, word in enumerate(words):
+            c = ids.get(word, -1)
+            while s and c not in nxt[s]:
+                s = link[s]
+                n = length[s]
+            s = nxt[s].get(c, -1)
+            if s < 0:
+                s = n = 0
+                continue
+            n += 1
+            if n >= window:
+                while length[link[s]] >= window:  # a shorter match, down to the window, is in more places
+                    s = link[s]
+                    n = length[s]
+                if least[s] < doc:
+                    out.append(i)
+        return out
+
+
+def _stream(window: int):
+    def run(table: pa.Table) -> pa.Table:
+        automaton, rows = Automaton(), list(zip(*(table.column(c).to_pylist() for c in ("role", "doc", "row", "firsts", "words")), strict=True))
+        for role, doc, _, _, words in rows:
+            if role == 0:
+                for passage in words.split(b"\n"):
+                    automaton.add(doc, passage.split(b" "))
+        automaton.finish()
+        found: list[tuple[int, int, list[int], list[int]]] = []
+        for role, doc, row, starts, words in rows:
+            if role == 0:
+                continue
+            a, b = [], []
+            for start, passage in zip(starts, words.split(b"\n"), strict=True):
+                for i in automaton.covered(doc, passage.split(b" "), window):
+                    first, end = start + i - window + 1, start + i + 1
+                    if b and first <= b[-1]:
+                        b[-1] = end
+                    else:
+                        a.append(first)
+                        b.append(end)
+            if a:
+                found.append((doc, row, a, b))
+        cols = list(zip(*found, strict=True)) if found else [[]] * 4
+        spans = pa.list_(pa.int64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc", "row", "firsts", "ends"), cols, (pa.int64(), pa.int64(), spans, spans), strict=True)})
+
+    return run
+
+
+def _cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    marked: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for doc, row, firsts, ends in zip(*(right.column(c).to_pylist() for c in ("doc", "row", "firsts", "ends")), strict=True):
+        marked.setdefault((doc, row), []).extend(zip(firsts, ends, strict=True))
+    n, gone, kept, spans = [], [], [], []
+    for doc, row, text in zip(*(left.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+        words = split(text)
+        cover = np.zeros(len(words) + 1, np.int32)
+        for a, b in marked.get((doc, row), ()):
+            cover[a] += 1
+            cover[b] -= 1
+        out = np.cumsum(cover[:-1]) > 0
+        n.append(len(words))
+        gone.append(int(out.sum()))
+        kept.append(b" ".join(compress(words, (~out).tolist()) if gone[-1] else words))
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], out.view(np.int8), [0]))))
+        spans.append([{"first": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
+    span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+    return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, span)})
+
+
 def without_copies(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space, in UTF-8), spans (words removed, from first to before end)."""
     spark = docs.sparkSession
     bounded_batches(spark, 16)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = prime(4 * parts)
+    buckets, doc_buckets, shards = 4 * parts, prime(3 * parts), prime(4 * parts)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "kind int, bucket int, blob binary"
-    asked = base.mapInArrow(_scan(window, buckets), schema).repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-    answers = asked.mapInArrow(_answer(buckets), schema).select("bucket", "blob")
-    held = base.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(buckets)).cast("int"))
-    return held.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<first:long,end:long>>")
-
+    asked = base.mapInArrow(_scan(window, buckets, doc_buckets), schema).repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    answers = materialize(asked.mapInArrow(_answer(doc_buckets), schema)).select("bucket", "blob")
+    # rows with one doc_id are told apart by their texts
+    held = base.withColumn("row", F.xxhash64("text")).withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(doc_buckets)).cast("int"))
+    passages = held.where("doc_id is not null").groupBy("bucket").cogroup(answers.groupBy("bucket"))
+    passages = materialize(passages.applyInArrow(_passages(window, shards), "shard int, role int, doc long, row long, firsts array<long>, n_words long, words binary"))
+    # a shard's automaton goes to as many tasks as its documents need for even shares: one row a shard decides
+    load = passages.groupBy("shard").agg(F.coalesce(F.sum(F.when(F.col("role") == 1, F.col("n_words"))), F.lit(0)).alias("asked"))
+    share = max(20_000, 2 * (load.agg(F.avg("asked")).first()[0] or 0))
+    load = load.where("asked > 0").select("shard", F.ceil(F.col("asked") / share).cast("int").alias("tasks"))
+    dealt = passages.join(load, "shard").withColumn("task", F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.expr("pmod(xxhash64(doc), tasks)").cast("int")))))
+    spans = dealt.select("shard", "task", "role", "doc", "row", "firsts", "words").groupBy("shard", "task").applyInArrow(_stream(window), "doc long, row long, firsts array<long>, ends array<long>")
+    spans = spans.withColumn("bucket", F.pmod("doc", F.lit(doc_buckets)).cast("int"))
+    return held.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<first:long,end:long>>")
