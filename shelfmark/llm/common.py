@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,28 +13,27 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor costs nothing but a new read."""
+def materialize(df: DataFrame, release: bool = True) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor costs nothing but a new read. release: wait for the shuffle files behind it to go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shelfmark_path = path
-    free(spark)
+    if release:
+        free(spark)
     return out
 
 
 def free(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that no DataFrame needs any more."""
+    """Lets Spark's cleaner drop shuffle files that no DataFrame needs any more, once the last query's events are delivered."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.3, 0.2):
+        time.sleep(pause)
+        spark.sparkContext._jvm.System.gc()
 
 
 def drop(df: DataFrame) -> None:
@@ -60,7 +60,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     neighbours is never gathered in one task. Edges with a null end or equal ends are left out.
     """
     links = edges.where("a is not null and b is not null and a <> b")
-    now = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), release=False)
     before = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
@@ -73,6 +73,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small)
+        after = materialize(small, release=False)
         drop(now)
         now = after
