@@ -11,13 +11,13 @@ from shelfmark.functions import paths as P
 
 def _cut(items: DataFrame, globs: list[G.Glob], ascii_only: bool) -> DataFrame:
     """Adds top: the shortest prefix below the root whose last name matches (null if none)."""
-    folded = F.lower(F.col("archive_path")) if ascii_only else P.fold(F.col("archive_path"))
+    items = items.withColumn("_low", F.lower("archive_path") if ascii_only else P.fold(F.col("archive_path")))
     path = F.regexp_replace("archive_path", r"/+$", "")
-    names, low = F.split(path, "/"), F.split(F.regexp_replace(folded, r"/+$", ""), "/")
+    names, low = F.split(path, "/"), F.split(F.regexp_replace("_low", r"/+$", ""), "/")
     inner = F.col("kind") == "directory"
     # the root itself, the first name, is never excluded
     hit = F.filter(F.sequence(F.lit(2), F.greatest(F.size(names), F.lit(2))), lambda k: (k <= F.size(names)) & G.matches(F.get(low, k - 1), (k < F.size(names)) | inner, globs))
-    return items.withColumn("_n", F.get(hit, F.lit(0))).withColumn("top", F.when(F.col("_n").isNotNull(), F.array_join(F.slice(names, 1, F.coalesce("_n", F.lit(1))), "/"))).withColumn("_own", F.col("_n") == F.size(names)).drop("_n")
+    return items.withColumn("_n", F.get(hit, F.lit(0))).withColumn("top", F.when(F.col("_n").isNotNull(), F.array_join(F.slice(names, 1, F.coalesce("_n", F.lit(1))), "/"))).withColumn("_own", F.col("_n") == F.size(names)).drop("_n", "_low")
 
 
 def kept(items: DataFrame, globs: list[G.Glob], ascii_only: bool = False) -> DataFrame:
