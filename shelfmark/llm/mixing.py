@@ -29,9 +29,7 @@ CAP = 3.0
 
 def words(text: str = "text") -> F.Column:
     """Number of runs of characters other than ASCII white space."""
-    # a character starts a word if it is no space and follows a space or the start
-    spaced = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.size(F.filter(F.split(spaced, " "), lambda w: w != "")).cast("long")
+    return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = CAP) -> DataFrame:
@@ -107,7 +105,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: flo
     out = [a.where(~open_).withColumn("up", (F.col("p") > 0) & (chance(F.col("u"), 2) < F.col("p"))).select(*last)]
     flat = [F.col(f"d.{c}").alias(c) if c in ("doc_id", "row", "size", "m", "whole") else F.col(c) for c in last]
     while True:
-        met = now.groupBy("g", "block").agg(F.array_sort(F.collect_list("d")).alias("docs"), *[F.first(c).alias(c) for c in info])
+        # dealt by both columns even if a join above has dealt by g alone: a source is never in one task
+        met = now.repartition("g", "block").groupBy("g", "block").agg(F.array_sort(F.collect_list("d")).alias("docs"), *[F.first(c).alias(c) for c in info])
         done = materialize(met.withColumn("made", pair).drop("docs"))
         out.append(done.select("source", "source_size", "target", F.explode("made.done").alias("x")).select("source", "source_size", "target", F.col("x.d").alias("d"), F.col("x.up").alias("up")).select(*flat))
         rest = done.where("made.open is not null").select("g", *info, "block", F.col("made.open").alias("d"))
@@ -133,7 +132,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: floa
     """The mixture: every document as many times as its copies, all columns as they are."""
     names = docs.columns
     keyed = docs.withColumn("_row", F.xxhash64(*names))
-    plans = plan(keyed.select("doc_id", "source", words().alias("size"), F.col("_row").alias("row")), weights, cap, seed)
+    plans = plan(materialize(keyed.select("doc_id", "source", words().alias("size"), F.col("_row").alias("row"))), weights, cap, seed)
     copies = plans.groupBy("row").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
     # equal rows are one here: their copies are summed above
     one = keyed.groupBy("_row").agg(F.first(F.struct(*names)).alias("_doc"))
