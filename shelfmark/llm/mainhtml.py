@@ -4,7 +4,8 @@ Every page's containers are scored by the share of the page's readable text that
 menus, headers, footers, sidebars, notices, adverts, forms, comments; links do not count). Each container
 votes for its generalised path of tags and classes, Spark sums the votes by host, and the page is extracted
 again from the containers on the winning path. A page without text there falls back on the next paths of its
-host and then on its own best container, so no page loses its text for being unlike the others.
+host that hold most of its text and then on its own best container, so no page loses its text for being
+unlike the others.
 
 Null html gives an empty text, as does a page with nothing readable. A null or malformed URL counts as the
 empty host. Unclosed and stray tags are tolerated. Repeated rows and null ids stay; other columns are ignored.
@@ -143,9 +144,10 @@ def extract(source: str | None, paths: list[str]) -> tuple[str, str | None]:
     page = Page(source)
     own = page.votes()
     there = set(page.path)
-    for path in [p for p in paths if p in there] + sorted(own, key=lambda p: -own[p]):
-        # a path of the host counts here if it holds the page's text, or if nothing else does
-        if (path in own or not own) and (text := page.text(path)):
+    # the host's winner counts wherever it has text, its other paths where they hold the page's text
+    chosen = [p for k, p in enumerate(paths) if p in there and (k == 0 or p in own or not own)]
+    for path in chosen + sorted(own, key=lambda p: -own[p]):
+        if text := page.text(path):
             return text, path
     return page.text(None), None
 
