@@ -40,7 +40,7 @@ def fingerprint(text: bytes | None, words: int) -> int:
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[a:b], 42) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+    hashes = np.array([digest(flat[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -125,14 +125,15 @@ def fingerprint_links(classes: DataFrame, bits: int) -> DataFrame:
         for k in chosen:
             key = F.shiftleft(key, 8).bitwiseOR(byte[k])
         keys.append(key)
-    posted = classes.where("rep is not null").select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
+    spark = classes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a small table has few files, and each row of it becomes seventy
+    posted = classes.where("rep is not null").repartition(parts, "fp").select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
     shared = posted.groupBy("key").count().where("count > 1")
     met = posted.join(shared, "key")
     blocks = F.ceil(F.col("count") / BLOCK).cast("long")
     met = met.withColumn("n", blocks).withColumn("k", F.expr("pmod(xxhash64(fp), n)"))
     dealt = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", (F.least("k", "j") * F.col("n") + F.greatest("k", "j")).alias("cell"), "fp", "rep")
-    spark = classes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_link_runs(bits), "a long, b long")
 
 
