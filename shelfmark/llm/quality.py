@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import bounded_batches
 from shelfmark.llm.ngrams import ngram_ids, pattern_ids
 
-PER_CLASS = 4000
+PER_CLASS = 2000
 ORDERS, BITS = (1, 2, 3), 18
 WIDTH = (1 << BITS) + 64
 
@@ -51,17 +51,19 @@ class Model:
 def hinge_dual(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
     """Weights and bias of a hinge loss by dual coordinate descent; row k has scale[id] / sqrt(ids) at its ids and 1 for the bias."""
     rng, w, bias = np.random.default_rng(seed), np.zeros(len(scale)), 0.0
-    values = [scale[r] / np.sqrt(max(1, len(r))) for r in rows]
-    square = np.array([v @ v + 1 for v in values])
+    root = np.sqrt([max(1, len(r)) for r in rows])
+    square = np.array([(scale[r] ** 2).sum() for r in rows]) / root**2 + 1
     alpha = np.zeros(len(rows))
     for _ in range(rounds):
         moved = 0.0
         for k in rng.permutation(len(rows)):
-            slope = y[k] * (w[rows[k]] @ values[k] + bias) - 1
+            ids = rows[k]
+            values = scale[ids] / root[k]  # not kept: one copy of the sample is enough for the driver
+            slope = y[k] * (w[ids] @ values + bias) - 1
             new = min(max(alpha[k] - slope / square[k], 0.0), cost)
             step = (new - alpha[k]) * y[k]
             if step:
-                w[rows[k]] += step * values[k]
+                w[ids] += step * values
                 bias += step
                 moved = max(moved, abs(step))
                 alpha[k] = new
