@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (shingles of five words), once."""
-    groups = simhash.simhash_groups(docs, words=5, bits=4)
+    """The document with the smallest id of each group of near-duplicates (shingles of five words, similarity 0.8), once."""
+    groups = simhash.similar_groups(docs, words=5, similarity=0.8)
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     named = docs.join(first, docs.doc_id == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))

@@ -1,10 +1,15 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most d bits (d < 8) agree in at least 8 - d of their eight
-positional bytes. The index posts each distinct fingerprint under every choice of 8 - d positions with
-the bytes found there, that is, the intersections of the single byte lists that a pair must share to
-reach the guaranteed count. Pairs that meet in a posting have their shared positional bytes tallied,
-those below the guarantee go, the others are verified by the number of differing bits.
+A fingerprint has one or more lanes of 64 bits, each from its own mix of the shingles' hashes. Two lanes that
+differ in at most d bits (d < 8) agree in at least 8 - d of their eight positional bytes. The index posts each
+distinct fingerprint, lane by lane, under every choice of `least` positions with the bytes found there, that
+is, the intersections of the single byte lists that a pair must share to reach that count. Pairs that meet in
+a posting have their shared positional bytes tallied, those below the minimum go, the others are verified by
+the number of differing bits.
+
+With one lane and `least` = 8 - bits nothing is missed. For a similarity s of shingle sets (similar_groups) the
+expected share of differing bits is acos(2 s / (1 + s)) / pi, too many for a guarantee: several lanes with
+`least` = 3 then give each pair several chances, and all lanes together judge it (see README for recall).
 
 A posting larger than a block is dealt out as pairs of blocks, and each task returns a spanning forest of
 the links it finds, never all pairs. Equal fingerprints are one class from the start.
@@ -15,6 +20,7 @@ the component of their fingerprint's class. Repeated rows stay. Columns besides
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,74 +35,99 @@ from shelfmark.llm.common import bounded_batches, connected_components, material
 BLOCK = 2048
 
 
-def fingerprint(text: bytes | None, words: int) -> int:
-    """Unsigned 64 bits: bit k is set if it is set in over half of the shingles' XXH64 (seed 42)."""
+def fingerprint(text: bytes | None, words: int, lanes: int = 1) -> np.ndarray:
+    """One unsigned number a lane: bit k is set if it is set in over half of the shingles' hashes, XXH64 (seed 42) in the first lane, mixed anew in others."""
     parts = (text or b"").lower().split()  # bytes: ASCII letters and white space only
     if not parts:
-        return 0
-    flat = b" ".join(parts)
+        return np.zeros(lanes, np.uint64)
+    flat, digest = b" ".join(parts), xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(flat, 42)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+        hashes = np.array([digest(flat, 42)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        hashes = np.array([digest(flat[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+    out = np.empty(lanes, np.uint64)
+    for lane in range(lanes):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 65536):
+            ones += np.unpackbits(mixed(hashes[at : at + 65536], lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[lane] = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    if not lane:
+        return hashes
+    h = hashes ^ np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def columns(lanes: int) -> list[str]:
+    return [f"fp{k}" for k in range(lanes)]
+
+
+def fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
+    """doc_id, fp0, fp1, … (64 bits each as a signed long)."""
     bounded_batches(docs.sparkSession)
+    names = columns(lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, words, lanes) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, k]) for k in range(lanes)]], ["doc_id", *names])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *names]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
+def near(apart: np.ndarray, bits: int, least: int) -> np.ndarray:
+    """Of differences (rows of lanes): those with enough equal positional bytes that differ in few enough bits."""
+    kept = (np.ascontiguousarray(apart).view(np.uint8).reshape(len(apart), 8 * apart.shape[1]) == 0).sum(1) >= least
+    kept[kept] = np.bitwise_count(apart[kept]).sum(1) <= bits
+    return kept
 
-def forest(fps: np.ndarray, ids: np.ndarray, bits: int) -> list[tuple[int, int]]:
+
+def forest(fps: np.ndarray, ids: np.ndarray, bits: int, least: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of fingerprints at most so many bits apart: tally, keep, verify."""
+    fps = fps.reshape(len(ids), -1)
     out, left = [], np.arange(len(fps))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            apart = fps[left] ^ fps[at]
-            tally = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-            near = tally >= 8 - bits
-            near[near] = np.bitwise_count(apart[near]) <= bits
-            if near.any():
-                found = left[near]
-                out += [(int(ids[at]), int(ids[x])) for x in found]
-                queue += list(found)
-                left = left[~near]
+            found = near(fps[left] ^ fps[at], bits, least)
+            if found.any():
+                out += [(int(ids[at]), int(ids[x])) for x in left[found]]
+                queue += list(left[found])
+                left = left[~found]
     return out
 
 
-def _link_runs(bits: int):
+def _link_runs(lanes: int, bits: int, least: int, small: int = 6):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = [np.empty(0, np.int64)] * 4
+        kept: list[np.ndarray] = [np.empty(0, np.int64)] * (3 + lanes)
 
         def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-            key, cell, fp, rep = cols
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-            at, n = np.concatenate(([0], cut)), np.diff(np.concatenate(([0], cut, [len(key)])))
-            fp = fp.view(np.uint64)
-            two = at[n == 2]
-            apart = fp[two] ^ fp[two + 1]
-            near = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= 8 - bits
-            near[near] = np.bitwise_count(apart[near]) <= bits
-            a, b = list(rep[two[near]]), list(rep[two[near] + 1])
-            for s, m in zip(at[n > 2].tolist(), n[n > 2].tolist(), strict=True):
-                for x, y in forest(fp[s : s + m], rep[s : s + m], bits):
-                    a.append(x)
-                    b.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            key, cell, rep = cols[:3]
+            fps = np.stack(cols[3:], 1).view(np.uint64)
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(key)))
+            size, run_of = np.repeat(n, n), np.cumsum(new) - 1
+            a, b = [], []
+            for step in range(1, small):  # small runs: all their pairs, many runs at once
+                i = np.flatnonzero((run_of[step:] == run_of[:-step]) & (size[:-step] <= small))
+                i = i[near(fps[i] ^ fps[i + step], bits, least)]
+                a.append(rep[i])
+                b.append(rep[i + step])
+            for s, m in zip(at[n > small].tolist(), n[n > small].tolist(), strict=True):
+                if tree := forest(fps[s : s + m], rep[s : s + m], bits, least):
+                    x, y = zip(*tree, strict=True)
+                    a.append(np.array(x, np.int64))
+                    b.append(np.array(y, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
         for batch in batches:
             new = [np.concatenate((k, np.asarray(c))) for k, c in zip(kept, batch.columns, strict=True)]
@@ -114,33 +145,53 @@ def _link_runs(bits: int):
     return run
 
 
-def fingerprint_links(classes: DataFrame, bits: int) -> DataFrame:
-    """(a, b): links between rep of classes (fp, rep) that keep together what at most so many differing bits join."""
-    if not 0 <= bits < 8:
-        raise ValueError("bits must be 0 to 7: eight positional bytes guarantee a match only below eight")
-    byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(8), min(8 - bits, 4))):  # four bytes at most: a longer match contains shorter ones
-        key = F.lit(n).cast("long")
-        for k in chosen:
-            key = F.shiftleft(key, 8).bitwiseOR(byte[k])
-        keys.append(key)
+def fingerprint_links(classes: DataFrame, lanes: int, bits: int, least: int) -> DataFrame:
+    """(a, b): links between rep of classes (rep, fp0, …) at most so many bits apart that share `least` positional bytes of a lane."""
+    if not 1 <= least <= 4:
+        raise ValueError("a posting takes one to four positional bytes")
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a small table has few files, and each row of it becomes seventy
-    posted = classes.where("rep is not null").repartition(parts, "fp").select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
-    shared = posted.groupBy("key").count().where("count > 1")
-    met = posted.join(shared, "key")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("long")
-    met = met.withColumn("n", blocks).withColumn("k", F.expr("pmod(xxhash64(fp), n)"))
-    dealt = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", (F.least("k", "j") * F.col("n") + F.greatest("k", "j")).alias("cell"), "fp", "rep")
-    return dealt.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_link_runs(bits), "a long, b long")
-
-
-def simhash_groups(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links, itself included)."""
-    prints = materialize(fingerprints(docs, words))
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(fingerprint_links(classes, bits))
-    found = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    keys = []
+    for lane, name in enumerate(columns(lanes)):
+        byte = [F.shiftrightunsigned(name, 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
+        for n, chosen in enumerate(combinations(range(8), least)):
+            key = F.lit(lane * 100 + n).cast("long")
+            for k in chosen:
+                key = F.shiftleft(key, 8).bitwiseOR(byte[k])
+            keys.append(key)
+    # a small table has few files, and each row of it becomes many
+    posted = classes.where("rep is not null").repartition(parts, "rep").select(F.explode(F.array(*keys)).alias("key"), "rep")
+    shared = materialize(posted.groupBy("key").count().where("count > 1"))
+    met = materialize(posted.join(shared, "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("long")).select("key", "n", "rep"))
+    held = met.join(classes, "rep").withColumn("k", F.expr("pmod(xxhash64(rep), n)"))
+    cell = (F.least("k", "j") * F.col("n") + F.greatest("k", "j")).alias("cell")
+    dealt = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", cell, "rep", *columns(lanes))
+    return dealt.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_link_runs(lanes, bits, least), "a long, b long")
+
+
+def _groups(docs: DataFrame, words: int, lanes: int, bits: int, least: int) -> DataFrame:
+    names = columns(lanes)
+    prints = materialize(fingerprints(docs, words, lanes))
+    classes = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")))
+    roots = connected_components(fingerprint_links(classes, lanes, bits, least))
+    found = classes.join(roots, classes.rep == roots.node, "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
+    return prints.join(found, names).select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links of at most so many bits, itself included)."""
+    if not 4 <= bits < 8:
+        raise ValueError("bits must be 4 to 7: eight positional bytes guarantee one to four that are equal")
+    return _groups(docs, words, 1, bits, 8 - bits)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 3) -> DataFrame:
+    """The same for texts whose shingle sets have at least a similarity (Jaccard), as all lanes estimate it.
+
+    The limit lies one standard deviation above what the similarity makes expect, so that most pairs at
+    the limit are kept.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    total = 64 * lanes
+    bits = int(total * share + math.sqrt(total * share * (1 - share)))
+    return _groups(docs, words, lanes, bits, 3)

@@ -46,7 +46,7 @@ TEXTS = [None, "", " \n\t ", "One", "one", "ÉCLAIR a b c d", "a b c d", "a b c
 @pytest.mark.parametrize("words", [1, 4, 5])
 def test_fingerprints(words):
     for t in TEXTS:
-        assert simhash.fingerprint(None if t is None else t.encode(), words) == slow_fingerprint(t, words), t
+        assert int(simhash.fingerprint(None if t is None else t.encode(), words)[0]) == slow_fingerprint(t, words), t
 
 
 def documents(spark, rows):
@@ -84,7 +84,7 @@ def test_forest_joins_what_pairs_join():
     fps = np.unique(np.concatenate([base ^ (np.uint64(1) << np.uint64(rng.integers(64))) ^ (np.uint64(1) << np.uint64(rng.integers(64))) for _ in range(40)]))
     ids = np.arange(len(fps))
     pairs = [(i, j) for i in ids for j in ids[:i] if int(fps[i] ^ fps[j]).bit_count() <= 4]
-    tree = simhash.forest(fps, ids, 4)
+    tree = simhash.forest(fps, ids, 4, 4)
     assert components(ids.tolist(), tree) == components(ids.tolist(), pairs) and len(tree) == len(fps) - len(set(components(ids.tolist(), pairs).values()))
 
 
@@ -92,15 +92,33 @@ def test_large_postings_are_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rng = np.random.default_rng(2)
     fps = sorted({int(rng.integers(1 << 12)) << 3 | 1 for _ in range(300)})  # all share most of their bytes
-    df = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, rep long")
-    links = [(r["a"], r["b"]) for r in simhash.fingerprint_links(df, 4).collect()]
+    df = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp0 long, rep long")
+    links = [(r["a"], r["b"]) for r in simhash.fingerprint_links(df, 1, 4, 4).collect()]
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     assert components(range(len(fps)), links) == components(range(len(fps)), pairs)
 
 
 def test_bits_must_leave_a_byte():
     with pytest.raises(ValueError):
-        simhash.fingerprint_links(None, 8)
+        simhash.simhash_groups(None, bits=8)
+
+
+def test_most_near_copies_are_grouped_and_others_are_not(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    rows, wanted, apart = [], [], []
+    for _ in range(150):
+        base = list(rng.choice(vocabulary, 250))
+        copy = base[:]
+        for k in rng.choice(250, int(rng.integers(1, 6)), replace=False):
+            copy[k] = "changed"
+        a, b = shingles(base), shingles(copy)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+        (wanted if len(a & b) / len(a | b) >= 0.8 else apart).append(rows[-1][0])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(spark, [(i, t, "", "") for i, t in rows])).collect()}
+    assert np.mean([got[i] == i - 1 for i in wanted]) > 0.85
+    assert all(got[i] == i for i in range(0, len(rows), 2))
 
 
 def test_empty_documents(spark):
