@@ -200,3 +200,12 @@ def latin1_or_utf8(data: Column) -> Column:
     cut = F.unhex(F.regexp_extract(F.hex(data), r"^((?:(?!00)..)*)", 1))
     text = F.when(F.is_valid_utf8(cut.cast("string")), F.decode(cut, "UTF-8")).otherwise(F.decode(cut, "ISO-8859-1"))
     return F.regexp_replace(text, r"[ \t\r\n]+$", "")
+
+
+def render(template: Column, values: dict[str, Column]) -> Column:
+    """A text with {name} placeholders filled in, each value as it is, and lines ended as archives' texts are (CR LF)."""
+    # one pass over the template's pieces, so that a value that looks like a placeholder stays what it is
+    names = "|".join(values)
+    pieces = F.split(F.regexp_replace(template, f"\\{{({names})\\}}", "\u0000$1\u0000"), "\u0000")
+    filled = F.transform(pieces, lambda x, k: F.when(k % 2 == 1, pick(x, values)).otherwise(x))
+    return F.replace(F.array_join(filled, ""), F.lit("\n"), F.lit("\r\n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -49,6 +49,30 @@ def scan_memory(spark: SparkSession, items: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "entry long, source_path string, archive_path string, kind string, size long, mtime_ns long, unix_mode int, content binary")
 
 
+def scan_callback(items: DataFrame, read: Callable[[str], bytes]) -> DataFrame:
+    """Items whose bytes a function gives, called on the executors with each source_path; one that fails leaves no content."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(path: str) -> bytes | None:
+            try:
+                return read(path)
+            except OSError:
+                return None
+
+        for pdf in batches:
+            yield pdf.assign(content=[one(p) if k == "file" else None for p, k in zip(pdf["source_path"], pdf["kind"], strict=True)])
+
+    return items.mapInPandas(run, items.withColumn("content", F.lit(None).cast("binary")).schema)
+
+
+def write_callback(items: DataFrame, write: Callable[[str, bytes], None]) -> None:
+    """Gives each item (target, content) to a function, on the executors."""
+    def run(rows: Iterator) -> None:
+        for r in rows:
+            write(r["target"], bytes(r["content"] or b""))
+
+    items.select("target", "content").foreachPartition(run)
+
+
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of any store that Spark reads; no empty folders, links or modes there. content is read only if it is used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from shelfmark.plans import codec_queries, listing_queries, path_queries, plan_queries, session_queries  # noqa: F401
+    from shelfmark.plans import codec_queries, listing_queries, media_queries, path_queries, plan_queries, session_queries  # noqa: F401
