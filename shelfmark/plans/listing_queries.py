@@ -132,12 +132,11 @@ def restorable_groups(spark: SparkSession, d: str) -> DataFrame:
 _DIRS = f"{C}, f as (select distinct unnest({PREFIXES}) as folder from c where kind = 'file')"
 
 
-@query(f"{_DIRS} select folder, row_number() over (order by len(string_split(folder, '/')) desc, folder) as place from f")
+@query(f"{_DIRS} select folder, len(string_split(folder, '/')) as depth from f")
 def deepest_first(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    """Folders by falling depth, in the order of a range-partitioned sort."""
     folders = A.catalog(spark, d).where("kind = 'file'").select(F.explode(P.ancestors(F.col("name"))).alias("target")).distinct().withColumn("kind", F.lit("directory")).withColumn("entry", F.col("target"))
-    return X.deepest_first(folders).select(F.col("target").alias("folder"), F.row_number().over(Window.orderBy(F.desc(F.size(F.split("target", "/"))), "target")).alias("place"))
+    return X.deepest_first(folders).select(F.col("target").alias("folder"), F.size(F.split("target", "/")).cast("long").alias("depth"))
 
 
 @query(f"{G} select group_id, min(entry) as entry, cast(coalesce(max(original_size), sum(size)) as bigint) as size, cast(sum(packed) as bigint) as packed, max(mtime) as mtime, count(*) as channels, array_to_string(list(entry order by channel_index), ',') as children from g group by group_id")
