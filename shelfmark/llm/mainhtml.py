@@ -41,6 +41,7 @@ _SOUND = frozenset("html body main article".split())
 #: Words of class names and ids.
 _BAD_WORD = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo comment comments disqus reply replies respond cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer share sharing social related recommended newsletter subscribe signup login popup modal overlay toolbar skip".split())
 _WEAK_WORD = frozenset("sidebar side aside header masthead banner notice notices alert widget widgets topbar tags meta rail".split())
+_LAYOUT_WORD = frozenset("has with no without layout".split())
 _GOOD_WORD = frozenset("article content main post entry story body text page".split())
 
 
@@ -51,8 +52,11 @@ def _bad(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return True
-    words = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    return bool(words & _BAD_WORD) or bool(words & _WEAK_WORD) and not words & _GOOD_WORD
+    names = [set(re.split(r"[^a-z0-9]+", n)) for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()]
+    if any(n & _BAD_WORD for n in names):
+        return True
+    # a wrapper may only say that it has a sidebar, beside the name of what it is
+    return any(n & _WEAK_WORD and not n & _LAYOUT_WORD for n in names) and not any(n <= _GOOD_WORD for n in names)
 
 
 class Page:

@@ -220,6 +220,14 @@ def test_main_text_of_templates(spark):
     assert (got[10], got[11], got[12], got[13], got[14], got[None], got[15]) == ("Bare <page> text", "Article", "", "", "", "plain", "Real text")
 
 
+@pytest.mark.parametrize(("attributes", "bad"), [
+    ('class="content with-sidebar"', False), ('class="main-sidebar"', True), ('class="page-header"', True), ('class="content sidebar-left"', False), ('id="comments"', True), ('class="comment-list item3"', True), ('class="ad"', True), ('class="gradient read"', False), ('role="banner"', True),
+    ('style="display: none"', True), ("hidden", True), ('class="header"', True), ('class="has-sidebar"', False), ('class="cookie_banner"', True), ('class="story-body"', False), ('aria-hidden="true"', True), ('data-hidden="x"', False),
+])
+def test_what_is_not_the_article(attributes, bad):
+    assert mainhtml.Page(f"<div {attributes}>x</div>").bad[1] is bad
+
+
 def test_hosts_agree_on_a_path(spark):
     # one page has more text in a box of quotes than in its article; its host's other pages decide
     normal = "<body><div class=main><p>{}</p></div><div class=quotes><p>short</p></div>"
