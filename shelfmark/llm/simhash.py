@@ -105,29 +105,53 @@ def forest(fps: np.ndarray, ids: np.ndarray, bits: int, least: int) -> list[tupl
     return out
 
 
+class Stars:
+    """Linked nodes of one task: each with the smallest node of its component there."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    def join(self, a: list[int], b: list[int]) -> None:
+        for x, y in zip(a, b, strict=True):
+            x, y = self.find(x), self.find(y)
+            if x < y:
+                self.up[y] = x
+            elif y < x:
+                self.up[x] = y
+
+    def links(self) -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in self.up if self.up[x] != x]
+        for at in range(0, len(nodes), 1 << 16):
+            part = nodes[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([self.find(x) for x in part], pa.int64())], ["a", "b"])
+
+
 def _link_runs(lanes: int, bits: int, least: int, small: int = 6):
+    """Stars of what a task's runs link: the same few links come from different tasks, so that distinct() leaves about one for each node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = [np.empty(0, np.int64)] * (3 + lanes)
+        stars = Stars()
 
-        def links(cols: list[np.ndarray]) -> pa.RecordBatch:
+        def take(cols: list[np.ndarray]) -> None:
             key, cell, rep = cols[:3]
             fps = np.stack(cols[3:], 1).view(np.uint64)
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
             at = np.flatnonzero(new)
             n = np.diff(np.append(at, len(key)))
             size, run_of = np.repeat(n, n), np.cumsum(new) - 1
-            a, b = [], []
             for step in range(1, small):  # small runs: all their pairs, many runs at once
                 i = np.flatnonzero((run_of[step:] == run_of[:-step]) & (size[:-step] <= small))
                 i = i[near(fps[i] ^ fps[i + step], bits, least)]
-                a.append(rep[i])
-                b.append(rep[i + step])
+                stars.join(rep[i].tolist(), rep[i + step].tolist())
             for s, m in zip(at[n > small].tolist(), n[n > small].tolist(), strict=True):
                 if tree := forest(fps[s : s + m], rep[s : s + m], bits, least):
-                    x, y = zip(*tree, strict=True)
-                    a.append(np.array(x, np.int64))
-                    b.append(np.array(y, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    stars.join(*zip(*tree, strict=True))
 
         for batch in batches:
             new = [np.concatenate((k, np.asarray(c))) for k, c in zip(kept, batch.columns, strict=True)]
@@ -137,10 +161,11 @@ def _link_runs(lanes: int, bits: int, least: int, small: int = 6):
             last = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
             end = int(last[-1]) + 1 if len(last) else 0
             if end:
-                yield links([c[:end] for c in new])
+                take([c[:end] for c in new])
             kept = [c[end:] for c in new]
         if len(kept[0]):
-            yield links(kept)
+            take(kept)
+        yield from stars.links()
 
     return run
 
@@ -151,16 +176,18 @@ def fingerprint_links(classes: DataFrame, lanes: int, bits: int, least: int) ->
         raise ValueError("a posting takes one to four positional bytes")
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = []
-    for lane, name in enumerate(columns(lanes)):
-        byte = [F.shiftrightunsigned(name, 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
-        for n, chosen in enumerate(combinations(range(8), least)):
-            key = F.lit(lane * 100 + n).cast("long")
-            for k in chosen:
-                key = F.shiftleft(key, 8).bitwiseOR(byte[k])
-            keys.append(key)
+    # one row for each choice of positions, its key computed after: an array of all keys is too much code to compile
+    choices = [(lane, n, *(8 * k for k in chosen)) for lane in range(lanes) for n, chosen in enumerate(combinations(range(8), least))]
+    choice = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(["lane", "n", *"abcd"[:least]], values, strict=True)]) for values in choices])
+    lane = F.col("fp0")
+    for k, name in enumerate(columns(lanes)[1:], 1):
+        lane = F.when(F.col("c.lane") == k, F.col(name)).otherwise(lane)
+    key = (F.col("c.lane") * 100 + F.col("c.n")).cast("long")
+    for c in "abcd"[:least]:
+        key = F.shiftleft(key, 8).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), F.col(f"c.{c}")).bitwiseAND(F.lit(255)))
     # a small table has few files, and each row of it becomes many
-    posted = classes.where("rep is not null").repartition(parts, "rep").select(F.explode(F.array(*keys)).alias("key"), "rep")
+    spread = classes.where("rep is not null").repartition(parts, "rep").withColumn("c", F.explode(choice))
+    posted = spread.select("c", lane.alias("fp"), "rep").select(key.alias("key"), "rep")
     shared = materialize(posted.groupBy("key").count().where("count > 1"))
     met = materialize(posted.join(shared, "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("long")).select("key", "n", "rep"))
     held = met.join(classes, "rep").withColumn("k", F.expr("pmod(xxhash64(rep), n)"))
