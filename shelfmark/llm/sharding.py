@@ -5,7 +5,7 @@ offset in (0, 1) of the source. All rows sorted by fraction interleave the sourc
 of rows matches the mixture; equal runs (counts at most one apart) are the shards.
 
 Both ranks are taken without gathering a source or the table in one task: rows are dealt into buckets, by
-hash within a source and by fraction overall, each of about BUCKET rows whatever the skew, and ranked inside;
+hash within a source and by fraction overall, each of at most about BUCKET rows whatever the skew, and ranked inside;
 running sums of the bucket counts (one row per bucket) give the offsets.
 
 Null source is a source of its own; null text has size 1 and crc32 0 bytes' worth (0). Equal rows are ranked
@@ -27,7 +27,8 @@ def shards(rows: DataFrame, n_shards: int = 16, seed: int = 11, order: tuple[str
     a = rows.select(*kept).withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in order]))
     a = a.withColumn("_s", F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))))
     total = rows.select(F.lit(1)).count()
-    buckets = max(1, -(-total // BUCKET))
+    # enough buckets for every task, however small the table, and none too large, however large
+    buckets = max(1, -(-total // BUCKET), min(total, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     a = a.withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(buckets)).cast("int"))
     sums = a.groupBy("_s", "_b").agg(F.count("*").alias("_c"))
     by_source = Window.partitionBy("_s")
