@@ -10,8 +10,8 @@ by exact cosine in double precision.
 Equal vectors are one class from the start. Lists and their queries are dealt out in cells of at most about
 MEMBERS x QUERIES, whatever a list's size; a cell returns counts and a spanning forest, never all pairs.
 
-Null or zero vectors, those with null or non-finite components and those of another length than most of
-the sample link with nothing: n_links 0, their own component. Rows with a null vec_id are a component
+Null or zero vectors and those with null or non-finite components link with nothing: n_links 0, their own
+component. Those of another length than most of the sample link with their equals alone. Rows with a null vec_id are a component
 without an id. Repeated ids are rows of their own that count as links. Other columns are ignored.
 """
 
@@ -147,7 +147,6 @@ def pq_links(vectors: DataFrame, threshold: float = 0.95, subspaces: int = 16, s
     classes = materialize(base.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null"))
     n = classes.count()
     sample = classes.select("embedding").orderBy(F.xxhash64(F.lit(seed), "rep"), "rep").limit(SAMPLE).toPandas()["embedding"] if n else []
-    own = base.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     if n:
         lengths = np.bincount([len(v) for v in sample])
         d = int(lengths.argmax())
