@@ -59,6 +59,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     neighbours (combined before the shuffle) and joins it back to the edges, so a node with very many
     neighbours is never gathered in one task. Edges with a null end or equal ends are left out.
     """
+    def apart(by_node: DataFrame) -> DataFrame:
+        # a key that is not seen to be the one just grouped by: both sides of the join are shuffled for it,
+        # which is when Spark can split the partition of a node with very many neighbours
+        return by_node.withColumn("u", F.greatest("u", "m"))  # m is never the greater
+
     links = edges.where("a is not null and b is not null and a <> b")
     now = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), release=False)
     before = None
@@ -68,9 +73,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = (mark["n"], mark["x"])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = apart(large.groupBy("u").agg(F.min("v").alias("m")))
         near = large.join(least, "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = materialize(small, release=False)
