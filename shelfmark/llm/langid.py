@@ -6,8 +6,8 @@ by landmark texts; ridge regression on the landmark kernel gives one score per l
 batch are presence matrix x (landmark presence x coefficients): the inner product is the same for every
 batch, so it is taken once, which changes nothing but the order of the products.
 
-Fitted on a bounded sample: at most PER_LANG documents a language, the first by a seeded hash of doc_id, and
-MAX_SAMPLE in all; MAX_LANDMARKS of them are landmarks. Every whole text is scored.
+Fitted on a bounded sample: at most PER_LANG documents of each of the MAX_LANGS most frequent languages, the
+first by a seeded hash of doc_id, and MAX_SAMPLE in all; MAX_LANDMARKS of them are landmarks. Every whole text is scored.
 
 A null text or one without a letter gets `und` and score 0, and so does everything where no language was
 learned. Null and repeated ids stay. Extra columns are ignored.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import bounded_batches
 from shelfmark.llm.ngrams import ngram_ids
 
-PER_LANG, MAX_SAMPLE, MAX_LANDMARKS = 800, 20_000, 384
+PER_LANG, MAX_LANGS, MAX_SAMPLE, MAX_LANDMARKS = 800, 1000, 20_000, 384
 ORDERS, BITS = (1, 2, 3), 17
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -88,7 +88,10 @@ def fit(docs: DataFrame, learnable: Column, seed: int = 5) -> Model:
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = base.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.coalesce(learnable, F.lit(False))).select("doc_id", "lang", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    first = known.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= PER_LANG)  # limited in every task before the shuffle
+    # a hash threshold leaves about twice as many rows as are wanted of each language, however many it has
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    near = known.join(F.broadcast(counts), "lang").where(F.shiftrightunsigned("h", 11) / float(1 << 53) * F.col("n") < 2 * PER_LANG)
+    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= PER_LANG)
     chosen = first.orderBy("k", "lang").limit(MAX_SAMPLE).groupBy("doc_id").agg(F.min("lang").alias("known"), F.min("h").alias("h"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
