@@ -93,5 +93,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: Links of equal vectors are those of a pair, so rows are joined as rows; components by a recursive union.
+OP1_SQL = """with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+u as (select vec_id, e, sqrt(list_inner_product(e, e)) as n from v where list_inner_product(e, e) > 0),
+links as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach as (select vec_id as a, vec_id as b from v union select r.a, l.b from reach r join links l on r.b = l.a),
+c as (select a, min(b) as component_id from reach group by a), n as (select a, count(*) as n from links group by a)
+select v.vec_id, coalesce(n.n, 0) as n_links, c.component_id, v.vec_id = c.component_id as kept from v join c on v.vec_id = c.a left join n on v.vec_id = n.a"""
+
+OP9_SQL = r"""with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, k, array_to_string(w[k:k + 12], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d where len(w) >= 13)),
+m as (select s, min(doc_id) as first from g group by s),
+c as (select distinct g.doc_id, g.k + j.j as p from g join m using (s), range(0, 13) j(j) where m.first < g.doc_id),
+e as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+k as (select doc_id, string_agg(word, ' ' order by p) as kept from e anti join c using (doc_id, p) group by doc_id),
+r as (select doc_id, count(*) as n from c group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(r.n, 0) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256 from d left join r using (doc_id) left join k using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_pq": OP1_SQL, "op9_substring": OP9_SQL}
