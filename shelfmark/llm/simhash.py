@@ -8,8 +8,10 @@ a posting have their shared positional bytes tallied, those below the minimum go
 the number of differing bits.
 
 With one lane and `least` = 8 - bits nothing is missed. For a similarity s of shingle sets (similar_groups) the
-expected share of differing bits is acos(2 s / (1 + s)) / pi, too many for a guarantee: several lanes with
-`least` = 3 then give each pair several chances, and all lanes together judge it (see README for recall).
+expected share of differing bits is acos(2 s / (1 + s)) / pi, too many for a guarantee: five lanes of distinct
+shingles with two positional bytes at once then give each pair many chances (see README for recall). What meets
+there is only a candidate: texts of candidates that hang together are gathered and linked by their exact
+similarity.
 
 A posting larger than a block is dealt out as pairs of blocks, and each task returns a spanning forest of
 the links it finds, never all pairs. Equal fingerprints are one class from the start.
@@ -33,20 +35,32 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import bounded_batches, connected_components, materialize
 
 BLOCK = 2048
+#: Texts and shingles of a block in which candidates are held against each other.
+GROUP, SHINGLES = 1024, 1 << 21
+#: The node of texts without a word.
+_EMPTY = int(np.array([xxhash.xxh64_intdigest(b"")], np.uint64).view(np.int64)[0])
 
 
 def fingerprint(text: bytes | None, words: int, lanes: int = 1) -> np.ndarray:
     """One unsigned number a lane: bit k is set if it is set in over half of the shingles' hashes, XXH64 (seed 42) in the first lane, mixed anew in others."""
+    hashes = shingles(text, words)
+    return signs(hashes, lanes) if len(hashes) else np.zeros(lanes, np.uint64)
+
+
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of so many words, or of all words where there are no more."""
     parts = (text or b"").lower().split()  # bytes: ASCII letters and white space only
     if not parts:
-        return np.zeros(lanes, np.uint64)
+        return np.empty(0, np.uint64)
     flat, digest = b" ".join(parts), xxhash.xxh64_intdigest
     if len(parts) <= words:
-        hashes = np.array([digest(flat, 42)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = np.array([digest(flat[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([digest(flat, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([digest(flat[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def signs(hashes: np.ndarray, lanes: int) -> np.ndarray:
     out = np.empty(lanes, np.uint64)
     for lane in range(lanes):
         ones = np.zeros(64, np.int64)
@@ -212,13 +226,104 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     return _groups(docs, words, 1, bits, 8 - bits)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 3) -> DataFrame:
-    """The same for texts whose shingle sets have at least a similarity (Jaccard), as all lanes estimate it.
+def _sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """doc_id, node (a number for the set of shingles), n (how many), fp0, fp1, … of the set, text."""
+    bounded_batches(docs.sparkSession)
+    names = columns(lanes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(t, words)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            fps = np.array([signs(s, lanes) if len(s) else np.zeros(lanes, np.uint64) for s in sets], np.uint64).reshape(-1, lanes).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(fps[:, k]) for k in range(lanes)], b.column(1)], ["doc_id", "node", "n", *names, "text"])
 
-    The limit lies one standard deviation above what the similarity makes expect, so that most pairs at
-    the limit are kept.
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "node", "n", *names]) + ", text string")
+
+
+def _candidates(nodes: DataFrame, lanes: int, bits: int) -> DataFrame:
+    """(a, b): links between nodes (node, fp0, …) that share two positional bytes of a lane and differ in at most so many bits of it and the next."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    choices = [(lane, n, 8 * a, 8 * b) for lane in range(lanes) for n, (a, b) in enumerate(combinations(range(8), 2))]
+    choice = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(["lane", "n", "a", "b"], values, strict=True)]) for values in choices])
+    fps = F.array(*columns(lanes))
+    key = (F.col("c.lane") * 100 + F.col("c.n")).cast("long")
+    for c in "ab":
+        key = F.shiftleft(key, 8).bitwiseOR(F.call_function("shiftrightunsigned", F.col("own"), F.col(f"c.{c}")).bitwiseAND(F.lit(255)))
+    spread = nodes.repartition(parts, "node").withColumn("c", F.explode(choice))
+    posted = spread.select("c", "node", F.get(fps, F.col("c.lane")).alias("own"), F.get(fps, (F.col("c.lane") + 1) % lanes).alias("next")).select(key.alias("key"), "node", "own", "next")
+    large = materialize(posted.groupBy("key").count().where(F.col("count") > BLOCK))
+    held = posted.join(large, "key", "left").withColumn("n", F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("long")).withColumn("k", F.expr("pmod(xxhash64(node), n)"))
+    cell = (F.least("k", "j") * F.col("n") + F.greatest("k", "j")).alias("cell")
+    dealt = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", cell, "node", "own", "next")
+    return dealt.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_link_runs(2, bits, 2), "a long, b long")
+
+
+def resembling(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of sets of distinct numbers whose similarity (Jaccard) is at least so much; none is empty."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    kinds, of = np.unique(np.concatenate(sets), return_inverse=True)
+    out, left, has = [], np.arange(len(sets)), np.zeros(len(kinds), np.int64)
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            mine = of[starts[at] : starts[at] + sizes[at]]
+            has[mine] = 1
+            both = np.add.reduceat(has[of], starts)[left]
+            has[mine] = 0
+            found = both >= similarity * (sizes[left] + sizes[at] - both) - 1e-9
+            out += [(int(at), int(x)) for x in left[found]]
+            queue += list(left[found])
+            left = left[~found]
+    return out
+
+
+def _verified(groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links by exact similarity between nodes (node, root, n, text) with one root. Groups with many texts or shingles are dealt as pairs of blocks."""
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / SHINGLES)).cast("long").alias("blocks"))
+    cell = (F.least("k", "j") * F.col("blocks") + F.greatest("k", "j")).alias("cell")
+    dealt = groups.join(sizes, "root").withColumn("k", F.expr("pmod(xxhash64(node), blocks)")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", cell, "node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stars, now, nodes, sets = Stars(), None, [], []
+
+        def take() -> None:
+            for a, b in resembling(sets, similarity) if len(sets) > 1 else []:
+                stars.join([nodes[a]], [nodes[b]])
+
+        for batch in batches:
+            for root, at, node, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                if (root, at) != now:
+                    take()
+                    now, nodes, sets = (root, at), [], []
+                nodes.append(node)
+                sets.append(np.unique(shingles(text, words)))
+        take()
+        yield from stars.links()
+
+    return dealt.repartition(parts, "root", "cell").sortWithinPartitions("root", "cell").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 5) -> DataFrame:
+    """doc_id, fingerprint of the set of shingles, component_id (smallest doc_id reachable by links), for texts whose sets have at least a similarity (Jaccard).
+
+    The limit of candidates lies three standard deviations above what the similarity makes expect, so that
+    hardly a pair is lost to it; the exact similarity decides.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    total = 64 * lanes
-    bits = int(total * share + math.sqrt(total * share * (1 - share)))
-    return _groups(docs, words, lanes, bits, 3)
+    bits = int(128 * share + 3 * math.sqrt(128 * share * (1 - share)))
+    names = columns(lanes)
+    prints = materialize(_sketches(docs, words, lanes))
+    classes = materialize(prints.where("n > 0").groupBy("node", "n", *names).agg(F.min("doc_id").alias("doc_id")))
+    roots = connected_components(_candidates(classes.select("node", *names), lanes, bits))
+    grouped = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    texts = prints.join(grouped, "node").select("node", "root", "n", "text").dropDuplicates(["node"])
+    linked = connected_components(_verified(materialize(texts), words, similarity))
+    named = classes.join(linked, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = named.join(least, "root").select("node", "component_id")
+    empty = prints.where("n = 0").agg(F.min("doc_id").alias("component_id")).select(F.lit(_EMPTY).alias("node"), "component_id")
+    return prints.join(found.unionByName(empty), "node").select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")

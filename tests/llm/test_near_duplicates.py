@@ -121,6 +121,35 @@ def test_most_near_copies_are_grouped_and_others_are_not(spark):
     assert all(got[i] == i for i in range(0, len(rows), 2))
 
 
+@pytest.mark.parametrize("group", [1024, 8])
+def test_similar_groups_equal_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)  # the smaller deals groups as pairs of blocks
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    rows = []
+    for size in (12, 60, 250):
+        for _ in range(40):
+            base = list(rng.choice(vocabulary, size))
+            rows.append((len(rows), " ".join(base)))
+            for share in (0.02, 0.04, 0.06):  # similarities around 0.8, on both sides
+                copy = base[:]
+                for k in rng.choice(size, max(1, int(size * share * rng.random())), replace=False):
+                    copy[k] = "changed"
+                rows.append((len(rows), " ".join(copy)))
+    base = list(rng.choice(vocabulary, 100))
+    rows += [(len(rows) + k, " ".join([*base[:90], *rng.choice(vocabulary, 10)])) for k in range(30)]  # a large group
+    line = "one line that is repeated over and over again "
+    rows += [(len(rows) + k, line * 300 + " ".join(rng.choice(vocabulary, 60))) for k in range(4)]  # the line alone is not a near copy
+    rows += [(len(rows) + k, line * (1 + 40 * k) + " ".join(base)) for k in range(2)]
+    rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, "two words")]
+    sets = [{tuple(p[k : k + 5]) for k in range(max(1, len(p) - 4))} if (p := (t or "").split()) else set() for _, t in rows]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if (10 * len(a & b) >= 8 * len(a | b))]
+    want = components(range(len(rows)), links)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(spark, [(i, t, "", "") for i, t in rows])).collect()}
+    lost, wrong = sum(got[i] != got[j] for i, j in links), [i for i in got if want[got[i]] != want[i]]
+    assert not wrong and lost <= 0.01 * len(links)
+
+
 def test_empty_documents(spark):
     assert simhash.simhash_groups(documents(spark, [])).count() == 0
 
