@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased runs of letters and digits, so copies with other punctuation or case are the same. The
-n-grams of every test item are counted over all documents (in how many they occur). An item's seeds are
-those in at most RARE documents and, whatever their counts, the rarer half of its n-grams, so that an item
-leaked to a great part of the corpus is still found. A document that holds a seed is aligned with the item around
+n-grams of every test item are counted over all documents (in how many they occur), and all that occur are seeds.
+Those in at most RARE documents lead straight to an alignment. Around the others, which an item leaked to a
+great part of the corpus may have alone, a part of a document is aligned if it has enough of the item's
+words: a match scores MATCH and nothing else scores, so fewer words cannot reach the least score and nothing
+is missed. A document is aligned with the item around
 the seed's place; the local alignment score over that of a full match decides, so that edited and
 paraphrased copies count as well.
 
@@ -75,6 +77,8 @@ class Index:
         flat = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.codes, self.owner, self.place = flat[order], (np.concatenate(owner) if owner else np.empty(0, int))[order], (np.concatenate(place) if place else np.empty(0, int))[order]
+        self.common = np.zeros(len(self.codes), bool)
+        self.bags = [np.unique(seq, return_counts=True) for seq in self.items]
         self.use(np.ones(len(self.codes), bool))
 
     @staticmethod
@@ -83,19 +87,15 @@ class Index:
         return sum(s[k : len(s) - SEED + 1 + k] * _FACTORS[k] for k in range(SEED))
 
     def use(self, kept: np.ndarray) -> None:
-        self.codes, self.owner, self.place = self.codes[kept], self.owner[kept], self.place[kept]
+        self.codes, self.owner, self.place, self.common = self.codes[kept], self.owner[kept], self.place[kept], self.common[kept]
         self.seeds, self.at = np.unique(self.codes, return_index=True)
         self.to = np.append(self.at[1:], len(self.codes))
 
     def rare(self, counts: dict[int, int]) -> None:
-        """Keeps an item's n-grams in at most RARE documents, and the rarer half of them in any case."""
+        """Drops n-grams that no document has and marks those in more than RARE documents."""
         n = np.array([counts.get(int(c), 0) for c in self.codes.view(np.int64)], np.int64)
-        kept = n <= RARE
-        order = np.lexsort((self.place, n, self.owner))
-        size = np.bincount(self.owner, minlength=len(self.items))
-        rank = np.arange(len(order)) - (np.cumsum(size) - size)[self.owner[order]]
-        kept[order[rank < (size[self.owner[order]] + 1) // 2]] = True
-        self.use(kept)
+        self.common = n > RARE
+        self.use(n > 0)
 
     def numbers(self, text: str | None) -> np.ndarray:
         found = words(text)
@@ -113,26 +113,36 @@ class Index:
         real = self.seeds[k] == codes
         return at[real], k[real]
 
-    def windows(self, seq: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, from, to): parts of a document around seeds, merged where they overlap."""
+    def enough(self, seq: np.ndarray, item: int, least: float) -> bool:
+        """Whether a part of a document has so many of the item's words that an alignment can score at least so much."""
+        bag, most = self.bags[item]
+        at = np.searchsorted(bag, seq)
+        at[at == len(bag)] = 0
+        there = np.bincount(at[bag[at] == seq], minlength=len(bag))
+        return np.minimum(there, most).sum() / len(self.items[item]) >= least
+
+    def windows(self, seq: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+        """(item, from, to): parts of a document around seeds, merged where they overlap, that can score at least so much."""
         spans = defaultdict(list)
         for at, k in zip(*(x.tolist() for x in self.hits(seq)), strict=True):
             for j in range(self.at[k], self.to[k]):
                 item = int(self.owner[j])
                 size, slack = len(self.items[item]), len(self.items[item]) // 3 + 4
                 first = at - int(self.place[j])
-                spans[item].append((max(0, first - slack), min(len(seq), first + size + slack)))
+                spans[item].append((max(0, first - slack), min(len(seq), first + size + slack), not self.common[j]))
         out = []
         for item, found in spans.items():
             found.sort()
-            a, b = found[0]
-            for x, y in found[1:]:
+            a, b, sure = found[0]
+            parts = []
+            for x, y, rare in found[1:]:
                 if x > b or max(b, y) - a > 4 * len(self.items[item]) + 64:
-                    out.append((item, a, b))
-                    a, b = x, y
+                    parts.append((a, b, sure))
+                    a, b, sure = x, y, rare
                 else:
-                    b = max(b, y)
-            out.append((item, a, b))
+                    b, sure = max(b, y), sure or rare
+            parts.append((a, b, sure))
+            out += [(item, a, b) for a, b, sure in parts if sure or self.enough(seq[a:b], item, least)]
         return out
 
     def matches(self, texts: list[str | None], least: float) -> list[tuple[int, int, float, int, int]]:
@@ -140,7 +150,7 @@ class Index:
         tasks, seqs = [], {}
         for row, text in enumerate(texts):
             seq = self.numbers(text)
-            if found := self.windows(seq):
+            if found := self.windows(seq, least):
                 seqs[row] = seq
                 tasks += [(row, *w) for w in found]
         tasks.sort(key=lambda t: (len(self.items[t[1]]), t[3] - t[2]))
@@ -168,7 +178,7 @@ class Index:
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
-    """An index with its rare seeds for each chunk of the benchmark."""
+    """An index with its counted seeds for each chunk of the benchmark."""
     bounded_batches(docs.sparkSession)
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0

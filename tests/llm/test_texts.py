@@ -109,6 +109,16 @@ def test_an_item_in_many_documents_is_still_found(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got) == list(range(60)) and {r["item_id"] for r in got} == {0}
 
 
+def test_items_quoted_in_part_by_very_many_are_found(spark):
+    item = [f"i{k}" for k in range(40)]
+    rows = [(k, f"x{k} y{k} " + " ".join(item[:21]) + f" z{k}") for k in range(30)]  # 0.525 of a full match, no seed in 20 documents or fewer
+    rows += [(100 + k, f"x{k} " + " ".join(item[:9]) + f" z{k} " * 40) for k in range(30)]  # below the limit
+    tests = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.leaks(docs(spark, rows), tests).collect()}
+    assert got == {k: 0.525 for k in range(30)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs(spark, rows), tests).collect()} == set(range(100, 130))
+
+
 def slow_alignment(a, b):
     best, h = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
