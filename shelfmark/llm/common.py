@@ -11,9 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables by application.
+_written: dict[str, set[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session takes a temporary one; others have no folder that all machines see, and fail."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints"
+    return found.rstrip("/")
 
 
 def materialize(df: DataFrame, release: bool = True) -> DataFrame:
@@ -21,6 +30,7 @@ def materialize(df: DataFrame, release: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shelfmark_path = path
     if release:
@@ -29,7 +39,11 @@ def materialize(df: DataFrame, release: bool = True) -> DataFrame:
 
 
 def free(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that no DataFrame needs any more, once the last query's events are delivered."""
+    """Lets Spark's cleaner drop shuffle files that no DataFrame needs any more, once the last query's events are delivered.
+
+    The cleaner works on collected references, by default every half hour: without this the disk holds the shuffles
+    of all steps of an operator at once instead of the largest.
+    """
     gc.collect()
     for pause in (0.3, 0.2):
         time.sleep(pause)
@@ -43,10 +57,28 @@ def drop(df: DataFrame) -> None:
         jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+        _written.get(df.sparkSession.sparkContext.applicationId, set()).discard(path)
+
+
+def written(spark: SparkSession) -> set[str]:
+    """Paths of the tables that materialize() has made and nobody dropped."""
+    return set(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def clear(spark: SparkSession, before: set[str] = frozenset(), keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables made since written() gave before, but those to keep: for callers that have stored the result built on them."""
+    kept = before | {getattr(d, "_shelfmark_path", None) for d in keep}
+    for path in written(spark) - kept:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _written[spark.sparkContext.applicationId].discard(path)
 
 
 def bounded_batches(spark: SparkSession, mb: int = 32) -> None:
-    """Python sees texts in batches of so many MB at most, whatever their length, unless the session sets its own limit."""
+    """Python sees texts in batches of so many MB at most, whatever their length, unless the session sets its own limit.
+
+    Results are lazy and read this when they run, so the setting stays: it holds for later Arrow batches of the session.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b") or 0) >= 2**31 - 1:
         spark.conf.set(key, str(mb << 20))

@@ -2,22 +2,23 @@
 
 A fingerprint has one or more lanes of 64 bits, each from its own mix of the shingles' hashes. Two lanes that
 differ in at most d bits (d < 8) agree in at least 8 - d of their eight positional bytes. The index posts each
-distinct fingerprint, lane by lane, under every choice of `least` positions with the bytes found there, that
-is, the intersections of the single byte lists that a pair must share to reach that count. Pairs that meet in
-a posting have their shared positional bytes tallied, those below the minimum go, the others are verified by
-the number of differing bits.
+distinct fingerprint under every choice of `posted` positions with the bytes found there: intersections of so
+many single byte lists, as the lists themselves (2,048 of them) would each hold a 256th of the corpus. A pair
+that meets in a posting shares `posted` bytes; all its shared positional bytes are tallied, pairs below the
+guaranteed minimum 8 - d, which is more than were posted, go, and the others are verified by the number of
+differing bits. Every pair that reaches the minimum meets in a posting, so nothing is missed.
 
-With one lane and `least` = 8 - bits nothing is missed. For a similarity s of shingle sets (similar_groups) the
-expected share of differing bits is acos(2 s / (1 + s)) / pi, too many for a guarantee: five lanes of distinct
-shingles with two positional bytes at once then give each pair many chances (see README for recall). What meets
-there is only a candidate: texts of candidates that hang together are gathered and linked by their exact
-similarity.
+For a similarity s of shingle sets (similar_groups) the expected share of differing bits is
+acos(2 s / (1 + s)) / pi, too many for a guarantee: five lanes of distinct shingles with two positional bytes at
+once then give each pair many chances (see README for recall). What meets there is only a candidate: texts of
+candidates that hang together are gathered and linked by their exact similarity.
 
 A posting larger than a block is dealt out as pairs of blocks, and each task returns a spanning forest of
 the links it finds, never all pairs. Equal fingerprints are one class from the start.
 
-Null or empty texts have the fingerprint zero and are linked like any other. Rows with a null doc_id get
-the component of their fingerprint's class. Repeated rows stay. Columns besides doc_id and text are ignored.
+Null or empty texts have the fingerprint zero and are linked like any other. Rows with a null doc_id link like
+any other; their component's id is the smallest of the ids there, null if it has none. Repeated rows stay. Columns
+besides doc_id and text are ignored, and passed through by one_of_each.
 """
 
 from __future__ import annotations
@@ -149,12 +150,12 @@ class Stars:
 def _link_runs(lanes: int, bits: int, least: int, small: int = 6):
     """Stars of what a task's runs link: the same few links come from different tasks, so that distinct() leaves about one for each node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = [np.empty(0, np.int64)] * (3 + lanes)
+        kept: list[np.ndarray] = [np.empty(0, np.int64)] * (3 + lanes)  # without lanes a node is its own fingerprint
         stars = Stars()
 
         def take(cols: list[np.ndarray]) -> None:
             key, cell, rep = cols[:3]
-            fps = np.stack(cols[3:], 1).view(np.uint64)
+            fps = np.stack(cols[3:] or cols[2:], 1).view(np.uint64)
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
             at = np.flatnonzero(new)
             n = np.diff(np.append(at, len(key)))
@@ -184,46 +185,44 @@ def _link_runs(lanes: int, bits: int, least: int, small: int = 6):
     return run
 
 
-def fingerprint_links(classes: DataFrame, lanes: int, bits: int, least: int) -> DataFrame:
-    """(a, b): links between rep of classes (rep, fp0, …) at most so many bits apart that share `least` positional bytes of a lane."""
-    if not 1 <= least <= 4:
-        raise ValueError("a posting takes one to four positional bytes")
-    spark = classes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fingerprint_links(fingerprints: DataFrame, bits: int, posted: int) -> DataFrame:
+    """(a, b): links between distinct fingerprints (fp0) at most so many bits apart, found in postings of so many positional bytes, no more than the 8 - bits that such pairs share at least."""
+    least = 8 - bits
+    if not 1 <= posted <= least:
+        raise ValueError("postings of more positional bytes than near fingerprints share would miss some")
+    parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one row for each choice of positions, its key computed after: an array of all keys is too much code to compile
-    choices = [(lane, n, *(8 * k for k in chosen)) for lane in range(lanes) for n, chosen in enumerate(combinations(range(8), least))]
-    choice = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(["lane", "n", *"abcd"[:least]], values, strict=True)]) for values in choices])
-    lane = F.col("fp0")
-    for k, name in enumerate(columns(lanes)[1:], 1):
-        lane = F.when(F.col("c.lane") == k, F.col(name)).otherwise(lane)
-    key = (F.col("c.lane") * 100 + F.col("c.n")).cast("long")
-    for c in "abcd"[:least]:
-        key = F.shiftleft(key, 8).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), F.col(f"c.{c}")).bitwiseAND(F.lit(255)))
+    names = "abcd"[:posted]
+    choices = [(n, *(8 * k for k in chosen)) for n, chosen in enumerate(combinations(range(8), posted))]
+    choice = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(["n", *names], values, strict=True)]) for values in choices])
+    key = F.col("c.n").cast("long")
+    for c in names:
+        key = F.shiftleft(key, 8).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp0"), F.col(f"c.{c}")).bitwiseAND(F.lit(255)))
     # a small table has few files, and each row of it becomes many
-    spread = classes.where("rep is not null").repartition(parts, "rep").withColumn("c", F.explode(choice))
-    posted = spread.select("c", lane.alias("fp"), "rep").select(key.alias("key"), "rep")
-    shared = materialize(posted.groupBy("key").count().where("count > 1"))
-    met = materialize(posted.join(shared, "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("long")).select("key", "n", "rep"))
-    held = met.join(classes, "rep").withColumn("k", F.expr("pmod(xxhash64(rep), n)"))
+    listed = fingerprints.select("fp0").repartition(parts, "fp0").withColumn("c", F.explode(choice)).select(key.alias("key"), "fp0")
+    shared = materialize(listed.groupBy("key").count().where("count > 1"))
+    met = listed.join(shared, "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("long")).withColumn("k", F.expr("pmod(xxhash64(fp0), n)"))
     cell = (F.least("k", "j") * F.col("n") + F.greatest("k", "j")).alias("cell")
-    dealt = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", cell, "rep", *columns(lanes))
-    return dealt.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_link_runs(lanes, bits, least), "a long, b long")
+    dealt = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", cell, "fp0")
+    return dealt.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_link_runs(0, bits, least), "a long, b long")
 
 
-def _groups(docs: DataFrame, words: int, lanes: int, bits: int, least: int) -> DataFrame:
-    names = columns(lanes)
-    prints = materialize(fingerprints(docs, words, lanes))
-    classes = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(fingerprint_links(classes, lanes, bits, least))
-    found = classes.join(roots, classes.rep == roots.node, "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(found, names).select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+def smallest(named: DataFrame, value: str = "doc_id") -> DataFrame:
+    """named (root and others) with component_id, the smallest value of its root. A root's rows may be many: both sides of the join are shuffled for it, so that its partition can be split."""
+    least = named.groupBy("root").agg(F.min(value).alias("component_id")).withColumn("root", F.col("root").bitwiseOR(F.lit(0).cast("long")))
+    return named.join(least, "root")
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4, posted: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links of at most so many bits, itself included)."""
     if not 4 <= bits < 8:
         raise ValueError("bits must be 4 to 7: eight positional bytes guarantee one to four that are equal")
-    return _groups(docs, words, 1, bits, 8 - bits)
+    prints = materialize(fingerprints(docs, words))
+    classes = materialize(prints.groupBy("fp0").agg(F.min("doc_id").alias("doc_id")))
+    roots = connected_components(fingerprint_links(classes, bits, min(posted, 8 - bits)))
+    named = classes.join(roots, classes.fp0 == roots.node, "left").select("fp0", "doc_id", F.coalesce("root", "fp0").alias("root"))
+    found = smallest(named).select("fp0", "component_id")
+    return prints.join(found, "fp0").select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
@@ -261,22 +260,30 @@ def _candidates(nodes: DataFrame, lanes: int, bits: int) -> DataFrame:
 
 def resembling(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links of a spanning forest of sets of distinct numbers whose similarity (Jaccard) is at least so much; none is empty."""
-    sizes = np.array([len(s) for s in sets])
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))  # by size: what can be similar is a range
+    sizes = np.array([len(sets[k]) for k in order])
     starts = np.cumsum(sizes) - sizes
-    kinds, of = np.unique(np.concatenate(sets), return_inverse=True)
-    out, left, has = [], np.arange(len(sets)), np.zeros(len(kinds), np.int64)
+    kinds, of = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    out, left, has = [], np.arange(len(sets)), np.zeros(len(kinds), bool)
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            mine = of[starts[at] : starts[at] + sizes[at]]
-            has[mine] = 1
-            both = np.add.reduceat(has[of], starts)[left]
-            has[mine] = 0
-            found = both >= similarity * (sizes[left] + sizes[at] - both) - 1e-9
-            out += [(int(at), int(x)) for x in left[found]]
-            queue += list(left[found])
-            left = left[~found]
+            first, end = np.searchsorted(sizes[left], (similarity * sizes[at] - 1e-9, sizes[at] / similarity + 1e-9), side="left")
+            if first == end:
+                continue
+            near = left[first:end]
+            has[of[starts[at] : starts[at] + sizes[at]]] = True
+            a, b = starts[near[0]], starts[near[-1]] + sizes[near[-1]]
+            if 2 * sizes[near].sum() > b - a:
+                both = np.add.reduceat(has[of[a:b]], starts[near[0] : near[-1] + 1] - a, dtype=np.int64)[near - near[0]]
+            else:
+                both = np.array([np.count_nonzero(has[of[starts[k] : starts[k] + sizes[k]]]) for k in near])
+            has[of[starts[at] : starts[at] + sizes[at]]] = False
+            found = both >= similarity * (sizes[near] + sizes[at] - both) - 1e-9
+            out += [(order[at], order[x]) for x in near[found].tolist()]
+            queue += near[found].tolist()
+            left = np.concatenate((left[:first], near[~found], left[end:]))
     return out
 
 
@@ -307,8 +314,8 @@ def _verified(groups: DataFrame, words: int, similarity: float) -> DataFrame:
     return dealt.repartition(parts, "root", "cell").sortWithinPartitions("root", "cell").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 5) -> DataFrame:
-    """doc_id, fingerprint of the set of shingles, component_id (smallest doc_id reachable by links), for texts whose sets have at least a similarity (Jaccard).
+def _similar(docs: DataFrame, words: int, similarity: float, lanes: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches, and (node, root, component_id) of all their nodes.
 
     The limit of candidates lies three standard deviations above what the similarity makes expect, so that
     hardly a pair is lost to it; the exact similarity decides.
@@ -323,7 +330,22 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lan
     texts = prints.join(grouped, "node").select("node", "root", "n", "text").dropDuplicates(["node"])
     linked = connected_components(_verified(materialize(texts), words, similarity))
     named = classes.join(linked, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least, "root").select("node", "component_id")
-    empty = prints.where("n = 0").agg(F.min("doc_id").alias("component_id")).select(F.lit(_EMPTY).alias("node"), "component_id")
-    return prints.join(found.unionByName(empty), "node").select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    empty = prints.where("n = 0").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 0").select(F.lit(_EMPTY).alias("node"), F.lit(_EMPTY).alias("root"), "component_id")
+    return prints, smallest(named).select("node", "root", "component_id").unionByName(empty)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 5) -> DataFrame:
+    """doc_id, fingerprint of the set of shingles, component_id (smallest doc_id reachable by links), for texts whose sets have at least a similarity (Jaccard)."""
+    prints, groups = _similar(docs, words, similarity, lanes)
+    return prints.join(groups, "node").select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 5) -> DataFrame:
+    """One row of each group of similar texts, all its columns as they are: the smallest doc_id that is not null; among rows with that id the smallest hash of the text, then the smallest row."""
+    prints, groups = _similar(docs, words, similarity, lanes)
+    id_, text = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    rows = prints.join(groups.select("node", "root"), "node").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text.alias("text")).alias("row"))
+    first = rows.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("id"), F.col("row.text").alias("text")).distinct()
+    packed = docs.select(id_.alias("id"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    kept = packed.alias("p").join(first.alias("f"), F.col("p.id").eqNullSafe(F.col("f.id")) & (F.col("p.text") == F.col("f.text")), "left_semi")
+    return kept.groupBy("id", "text").agg(F.min("doc").alias("doc")).select("doc.*")

@@ -88,16 +88,42 @@ def test_forest_joins_what_pairs_join():
     assert components(ids.tolist(), tree) == components(ids.tolist(), pairs) and len(tree) == len(fps) - len(set(components(ids.tolist(), pairs).values()))
 
 
-def test_large_postings_are_dealt_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("posted", [1, 3, 4])
+def test_large_postings_are_dealt_in_blocks(spark, monkeypatch, posted):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rng = np.random.default_rng(2)
     fps = sorted({int(rng.integers(1 << 12)) << 3 | 1 for _ in range(300)})  # all share most of their bytes
-    df = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp0 long, rep long")
-    links = [(r["a"], r["b"]) for r in simhash.fingerprint_links(df, 1, 4, 4).collect()]
+    at = {f: k for k, f in enumerate(fps)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp0 long")
+    links = [(at[r["a"]], at[r["b"]]) for r in simhash.fingerprint_links(df, 4, posted).collect()]
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     assert components(range(len(fps)), links) == components(range(len(fps)), pairs)
 
 
+def test_pairs_below_the_guaranteed_count_are_dropped():
+    apart = np.array([[0x01010101], [0x0101010101], [0x0F], [0x1F]], np.uint64)
+    assert simhash.near(apart, 64, 4).tolist() == [True, False, True, True]  # five bytes differ in the second
+    assert simhash.near(apart, 4, 4).tolist() == [True, False, True, False]
+
+
+def test_rows_without_id_still_link(spark):
+    a = [f"w{k}" for k in range(400)]
+    rows = [(5, " ".join(a)), (None, " ".join(a)), (None, "only null ids"), (None, "only null ids"), (9, "only null ids either way")]
+    got = simhash.simhash_groups(documents(spark, [(i, t, "", "") for i, t in rows])).collect()
+    assert len(got) == 5 and [r["component_id"] for r in got if r["doc_id"] is None and r["component_id"] == 5] == [5]
+    assert sum(r["doc_id"] is None and r["component_id"] is None for r in got) == 2
+
+
+def test_one_row_of_each_group(spark):
+    text = lambda k, n=60: " ".join(f"{k}w{j}" for j in range(n))
+    rows = [(1, text(1)), (2, text(1) + " more"), (1, text(2)), (1, text(2)), (None, text(3)), (None, text(3)), (None, text(4)), (7, text(4)), (8, ""), (9, None), (3, text(5)), (3, text(6) + " x"), (2, text(6))]
+    df = spark.createDataFrame([(i, t, k, "c") for k, (i, t) in enumerate(rows)], "doc_id long, text string, node long, root string")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns and simhash.one_of_each(df.where("doc_id > 100")).count() == 0
+    got = {r["node"] for r in out.collect()}
+    assert got == {0, 2, 4, 7, 8, 10, 12}  # two documents with id 1 stay, as they are different; a null id gives way to another
+
+
 def test_bits_must_leave_a_byte():
     with pytest.raises(ValueError):
         simhash.simhash_groups(None, bits=8)
