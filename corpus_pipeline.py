@@ -1,7 +1,7 @@
 """From raw documents to shards: quality, near-duplicates, benchmark leaks, mixture, shards.
 
 Each stage takes all documents that the one before kept and returns the columns of documents; the last adds
-shard and slot. Documents with a null id pass the near-duplicate stage as they are, since nothing names them.
+shard and slot. Different documents may share an id or have none: no stage takes an id for a row.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import decontaminate, mixing, quality, sharding, simhash
-from shelfmark.llm.common import materialize
+from shelfmark.llm.common import clear, drop, materialize, written
 
 SHARDS = 16
 
@@ -24,11 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (shingles of five words, similarity 0.8), once."""
-    groups = simhash.similar_groups(docs, words=5, similarity=0.8)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.join(first, docs.doc_id == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates (shingles of five words, similarity 0.8): the one with the smallest id."""
+    return simhash.one_of_each(docs, words=5, similarity=0.8)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +58,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before = written(spark)
+        made = materialize(stage(spark, docs, sf_dir))
+        clear(spark, before, (made,))  # what the stage wrote on its way
+        drop(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
