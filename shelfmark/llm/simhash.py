@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded_batches, connected_components, materialize
+from shelfmark.llm.common import bounded_batches, connected_components, materialize, smallest
 
 BLOCK = 2048
 #: Texts and shingles of a block in which candidates are held against each other.
@@ -207,12 +207,6 @@ def fingerprint_links(fingerprints: DataFrame, bits: int, posted: int) -> DataFr
     return dealt.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_link_runs(0, bits, least), "a long, b long")
 
 
-def smallest(named: DataFrame, value: str = "doc_id") -> DataFrame:
-    """named (root and others) with component_id, the smallest value of its root. A root's rows may be many: both sides of the join are shuffled for it, so that its partition can be split."""
-    least = named.groupBy("root").agg(F.min(value).alias("component_id")).withColumn("root", F.col("root").bitwiseOR(F.lit(0).cast("long")))
-    return named.join(least, "root")
-
-
 def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4, posted: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links of at most so many bits, itself included)."""
     if not 4 <= bits < 8:

@@ -228,6 +228,38 @@ def test_hot_lists_are_cut_into_cells(spark, monkeypatch):
     assert [got[k]["n_links"] for k in range(120)] == n.tolist() and {r["component_id"] for r in got.values()} == {0}
 
 
+def test_every_length_and_rows_without_id(spark):
+    rows = [(1, [1.0, 1.0]), (2, [1.0, 1.01]), (3, [2.0, 2.0]), (4, [1.0, -1.0])] + [(10 + k, [1.0, 0.1 * k, 0.5]) for k in range(6)]
+    rows += [(None, [5.0, 0.0, 0.0, 0.1]), (20, [5.0, 0.0, 0.0, 0.0]), (None, [0.0, 7.0, 0.0, 0.0]), (None, [0.0, 7.0, 0.0, 0.0]), (None, None)]
+    got = sorted(((r["vec_id"] is None, r["vec_id"] or 0, *r) for r in pq.pq_links(vectors(spark, [(i, v, 1, 7) for i, v in rows])).collect()), key=str)
+    by = {g[2]: g[3:] for g in got if g[2] is not None}
+    assert len(got) == len(rows) and by[1] == (2, 1, True) and by[2] == (2, 1, False) and by[3] == (2, 1, False) and by[4] == (0, 4, True)
+    assert by[20] == (1, 20, True)
+    assert sorted((g[3], str(g[4]), g[5]) for g in got if g[2] is None) == [(0, "None", False), (1, "20", False), (1, "None", False), (1, "None", False)]
+    same = [(a, b) for a in range(4, 10) for b in range(4, a) if np.dot(rows[a][1], rows[b][1]) >= 0.95 * np.linalg.norm(rows[a][1]) * np.linalg.norm(rows[b][1])]
+    assert sum(by[10 + k][0] for k in range(6)) == 2 * len(same)
+
+
+@pytest.mark.parametrize("kind", ["even", "few directions"])
+@pytest.mark.parametrize("spread", [pq.SPREAD, None])
+def test_recall_without_clusters(spark, kind, spread, monkeypatch):
+    rng = np.random.default_rng(6)
+    if kind == "even":  # pairs at the very threshold, in random directions of 64
+        base = rng.normal(size=(700, 64))
+        other = base + rng.normal(size=base.shape) * 0.32
+    else:  # everything lies near a plane of three directions
+        plane = rng.normal(size=(3, 64))
+        base = rng.normal(size=(700, 3)) @ plane + rng.normal(size=(700, 64)) * 0.02
+        other = base + rng.normal(size=(700, 3)) * 0.1 @ plane
+    x = np.concatenate((base, other)).astype(np.float32)
+    u = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in pq.pq_links(vectors(spark, [(k, v.tolist(), 0, 0) for k, v in enumerate(x)]), spread=spread).collect()}
+    found = np.array([got[k] for k in range(len(x))])
+    assert want.sum() > 300 and (found <= want).all()
+    assert (found == want).all() if spread is None else found.sum() >= 0.97 * want.sum()
+
+
 def test_few_or_no_vectors(spark):
     assert pq.pq_links(vectors(spark, [])).count() == 0
     assert [tuple(r) for r in pq.pq_links(vectors(spark, [(4, [1.0, 2.0], 0, 0)])).collect()] == [(4, 0, 4, True)]
