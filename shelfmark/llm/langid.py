@@ -1,7 +1,7 @@
 """Language identification: string kernels, Nyström landmarks, one-versus-rest kernel ridge regression.
 
-The kernel of two texts is the number of distinct n-grams (lengths 1 to 3, of lower-case letters with one
-space between words) present in both, over the root of the product of their own numbers. It is approximated
+The kernel of two texts is the number of distinct n-grams (lengths 1 to 3, of lower-case letters and their marks, the
+Unicode categories L and M, with one space between words) present in both, over the root of the product of their own numbers. It is approximated
 by landmark texts; ridge regression on the landmark kernel gives one score per language. The scores of a
 batch are presence matrix x (landmark presence x coefficients): the inner product is the same for every
 batch, so it is taken once, which changes nothing but the order of the products.
@@ -16,6 +16,8 @@ learned. Null and repeated ids stay. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +31,22 @@ from shelfmark.llm.ngrams import ngram_ids
 
 PER_LANG, MAX_LANGS, MAX_SAMPLE, MAX_LANDMARKS = 800, 1000, 20_000, 384
 ORDERS, BITS = (1, 2, 3), 17
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def _classes(*kinds: str) -> str:
+    """The characters of some Unicode categories (by their first letter), as ranges of a character class."""
+    inside = np.array([unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)])
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
+
+
+_OTHERS, _LETTER = re.compile(f"[^{_classes('L', 'M')}]+"), re.compile(f"[{_classes('L')}]")
 
 
 def presence(text: str | None) -> np.ndarray | None:
     """Distinct n-gram ids, or None without a letter."""
-    letters = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
-    return ngram_ids(f" {letters} ", ORDERS, BITS) if letters else None
+    low = (text or "").lower()
+    return ngram_ids(f" {_OTHERS.sub(' ', low).strip()} ", ORDERS, BITS) if _LETTER.search(low) else None
 
 
 @dataclass

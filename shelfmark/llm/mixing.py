@@ -13,7 +13,9 @@ ids, so reruns agree.
 
 Null text and texts without words have size 0, take nothing and are given the whole part of their copies and a
 hashed rounding of the rest. Null source is a source, last in order. Null and repeated ids stay: equal rows are
-rounded each on their own, or, in mix(), as one document that stands for all of them. Empty tables stay empty.
+rounded together, each within one copy of the others, and however many they are, listed in runs of at most COPIES. In
+mix() a document is told from others by doc_id, source, size and a 64-bit hash of all its columns and which of them
+are null; columns of any name pass through. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import materialize
 
 BLOCK, FAN = 192, 64
+#: Equal rows that one task lists at most.
+COPIES = 65_536
 CAP = 3.0
 
 
@@ -118,7 +122,12 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: flo
     every = out[0]
     for more in out[1:]:
         every = every.unionByName(more)
-    every = every.withColumn("all", F.col("whole") + F.col("up").cast("long")).withColumn("k", F.explode(F.expr("sequence(1L, m)")))
+    every = every.withColumn("all", F.col("whole") + F.col("up").cast("long"))
+    few = every.where(F.col("m") <= COPIES).withColumn("k", F.explode(F.expr("sequence(1L, m)")))
+    # runs first, dealt out before each is listed
+    runs = every.where(F.col("m") > COPIES).withColumn("run", F.explode(F.expr(f"sequence(0L, (m - 1) div {COPIES})"))).repartition("doc_id", "source", "row", "run")
+    many = runs.withColumn("k", F.explode(F.expr(f"sequence(run * {COPIES} + 1, least(m, (run + 1) * {COPIES}))"))).drop("run")
+    every = few.unionByName(many)
     every = every.withColumn("copies", F.expr("cast(all div m + if(k <= pmod(all, m), 1, 0) as long)"))
     return every.select("doc_id", "source", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -130,11 +139,16 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = CAP, seed: int = 13) -> DataFrame:
     """The mixture: every document as many times as its copies, all columns as they are."""
-    names = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64(*names))
-    plans = plan(materialize(keyed.select("doc_id", "source", words().alias("size"), F.col("_row").alias("row"))), weights, cap, seed)
-    copies = plans.groupBy("row").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.xxhash64(F.lit(seed), *columns, *[c.isNull() for c in columns])  # nulls alone would not change a hash
+    keyed = docs.select(F.struct(*columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("of"), words().alias("n"), row.alias("row"))
+    plans = plan(materialize(keyed.select(F.col("id").alias("doc_id"), F.col("of").alias("source"), F.col("n").alias("size"), "row")), weights, cap, seed)
+    copies = plans.groupBy("doc_id", "source", "size", "row").agg(F.sum("copies").alias("copies")).where("copies > 0")
     # equal rows are one here: their copies are summed above
-    one = keyed.groupBy("_row").agg(F.first(F.struct(*names)).alias("_doc"))
-    both = one.join(copies, F.col("_row") == F.col("row"))
-    return both.select("_doc", F.explode(F.expr("sequence(1L, _copies)"))).select("_doc.*")
+    one = keyed.groupBy("id", "of", "n", "row").agg(F.first("doc").alias("doc")).alias("a")
+    both = one.join(copies.alias("b"), (F.col("a.row") == F.col("b.row")) & F.col("a.id").eqNullSafe(F.col("b.doc_id")) & F.col("a.of").eqNullSafe(F.col("b.source")) & (F.col("a.n") == F.col("b.size")))
+    runs = both.select("doc", "copies")
+    few = runs.where(F.col("copies") <= COPIES).select("doc", F.explode(F.expr("sequence(1L, copies)")))
+    many = runs.where(F.col("copies") > COPIES).withColumn("run", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})"))).repartition(F.col("doc.doc_id"), F.col("run"))
+    many = many.select("doc", F.explode(F.expr(f"sequence(run * {COPIES} + 1, least(copies, (run + 1) * {COPIES}))")))
+    return few.unionByName(many).select("doc.*")
