@@ -235,7 +235,60 @@ def test_main_text_of_templates(spark):
     ('style="display: none"', True), ("hidden", True), ('class="header"', True), ('class="has-sidebar"', False), ('class="cookie_banner"', True), ('class="story-body"', False), ('aria-hidden="true"', True), ('data-hidden="x"', False),
 ])
 def test_what_is_not_the_article(attributes, bad):
-    assert mainhtml.Page(f"<div {attributes}>x</div>").bad[1] is bad
+    page = mainhtml.Page(f"<div {attributes}>x</div>")
+    page.settle()
+    assert page.bad[1] is bad
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<article><p title='it's fine'>One <b>two</b>.</p></article>", "One two."),
+    ("<article><p><a href=don't>One</a></p><p>it's two</p></article>", "One it's two"),
+    ("<!--><article>Text</article>", "Text"),
+    ("<!---><article>Text</article><!-- <b>no</b> -->", "Text"),
+    ("<article>Before <section id=\"comments-on-kant\"><p>Kant wrote</p></section><div class=\"related-work\">Others did</div><table class='menu-prices'><tr><td>Soup<td>3</table></article>", "Before Kant wrote Others did Soup 3"),
+    ("<article>Text</article><div class='related-foos'><a href=a>One</a> <a href=b>Two</a></div>", "Text"),
+    ("<body><p title=\"open>Text", "Text"),
+    ("<article>a < b &lt; c <3</article>", "a < b < c <3"),
+    ("<article>a<iframe src=x>b</article>", "ab"),
+    ("<article>a<SCRIPT>'</b>'</Script >b</article>", "ab"),
+    ("<article>a<textarea>x</textarea><button>y</button><noscript>z</noscript>b</article>", "ab"),
+    ("<article a=1 a=2 / class = x>t</article >u", "t"),
+    ("x <a", "x"), ("", ""), ("<", "<"), ("</", ""), ("<!", ""), ("<p/>t", "t"),
+])
+def test_markup_as_it_comes(html, text):
+    assert mainhtml.extract(html, [])[0].replace("  ", " ") == text
+
+
+@pytest.mark.parametrize("part", ["<a \"", "<a x=\"", "<a x='>", "<!--", "<iframe>", "</", "<b ", "<div>", "<p><b>", "<textarea", "</div", "<title>", "<i>", "</x>", "<table><tr><td>"])
+def test_time_grows_with_the_page_alone(part):
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        mainhtml.extract("<article>Text</article>" + part * n, [])
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.02)
+
+
+def test_host_settles_what_one_page_leaves_in_doubt(spark):
+    row = "<body><div class=main><p>{}</p><div class='menu-of-day'>{}</div></div>"
+    rows = [(k, "http://h/a", row.format("text of the page " * 20, "a dish and another dish and then some more of what there is " * 2)) for k in range(5)] + [(9, "http://h/b", row.format("text " * 50, "soup"))]
+    got = {r["page_id"]: r["text"] for r in mainhtml.main_texts(pages(spark, rows)).collect()}
+    assert got[9].endswith("soup") and "dish" in got[0]
+    assert mainhtml.extract(rows[-1][2], [])[0].endswith("text")
+
+
+def test_headings_before_the_body_of_a_post_stay(spark):
+    row = "<body><div class=post><h1>Heading {}</h1><div class=body><p>{}</p></div></div><div class=foot>x</div>"
+    rows = [(k, "http://h/a", row.format(k, "words of the page " * 200)) for k in range(3)] + [(9, "http://h/b", row.format(9, "short"))]
+    got = {r["page_id"]: r["text"] for r in mainhtml.main_texts(pages(spark, rows)).collect()}
+    assert all(got[k].startswith(f"Heading {k} ") for k in (0, 1, 2, 9))
+
+
+def test_no_pages(spark):
+    assert mainhtml.main_texts(pages(spark, [])).count() == 0
+    assert [r["text"] for r in mainhtml.main_texts(pages(spark, [(1, None, "<p>" + "long " * 400_000)])).collect()] == [("long " * 400_000).strip()]
 
 
 def test_hosts_agree_on_a_path(spark):
