@@ -5,18 +5,23 @@
    by bucket of the hash, one row for each batch and bucket; a bucket tells each document which windows have an
    owner, a document with a smaller id, and each owner which of its windows others hold.
 2. References. Owned windows, run together to passages, are the references; they are as large as the repeated
-   part of the corpus taken once, and are dealt into shards by owner. Passages that have an owner go to its shard.
+   part of the corpus taken once, and are dealt into shards by owner, as many as keep each within SHARD bytes of text.
 3. Automata. Each shard's references become one suffix automaton of words whose states know the smallest
-   document they occur in. The passages stream through it; matching statistics of WINDOW words or more in a
-   smaller document mark the words to remove. The automaton compares words, so equal hashes of different
-   windows remove nothing. A shard that many documents stream against goes to as many tasks as it needs.
-4. The marked words are cut from the texts.
+   document they occur in. Every document that has a window of a shard streams through its automaton from first word
+   to last; matching statistics of WINDOW words or more in a smaller document mark the words to remove. A shard
+   that many documents stream against goes to as many tasks as it needs.
+4. The automaton compares words, so equal hashes of different windows remove nothing. Windows that were led to a shard
+   by such a hash and found nothing there are held against each other as words, so that they lose nothing either.
+5. The marked words are cut from the texts.
 
 Automata of the whole corpus sent to every executor would neither fit nor scale (every document against every
 shard); the routing sends a document only to the shards that can hold its passages.
 
-Null and empty texts have no words. A document with a null doc_id has nothing removed and removes nothing.
-Rows with one doc_id are judged alike and do not remove each other's words. Extra columns are ignored.
+Tasks hold a bucket or a shard at a time; both are cut by the bytes of the corpus, so that they stay as large as they
+are however much it grows.
+
+Null and empty texts have no words. A document with a null doc_id has nothing removed and removes nothing; negative
+ids are ids. Rows with one doc_id are judged alike and do not remove each other's words. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import bounded_batches, materialize
 
 WINDOW = 13
+#: Bytes of the corpus for each bucket of hashes, each bucket of documents, each shard of references.
+HASHES, TEXTS, SHARD = 24 << 20, 24 << 20, 4 << 20
 #: Bytes of text whose windows are combined at once.
 BATCH = 12 << 20
 _MASK = np.uint64((1 << 56) - 1)
@@ -210,8 +217,9 @@ def _by_doc(docs: np.ndarray, *columns: np.ndarray) -> dict[int, tuple[np.ndarra
 
 
 def _passages(window: int, shards: int):
-    """Runs of windows that have an owner (role 1, by the owner's shard) and of windows that others hold (role 0)."""
-    fields = (("shard", pa.int32()), ("role", pa.int32()), ("doc", pa.int64()), ("row", pa.int64()), ("firsts", pa.list_(pa.int64())), ("n_words", pa.int64()), ("words", pa.binary()))
+    """Documents with windows that have an owner (role 1, whole, with those windows' runs, for each shard of an owner) and runs of windows that others hold (role 0)."""
+    runs = pa.list_(pa.int64())
+    fields = (("shard", pa.int32()), ("role", pa.int32()), ("doc", pa.int64()), ("row", pa.int64()), ("firsts", runs), ("ends", runs), ("n_words", pa.int64()), ("words", pa.binary()))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         docs, owners, hashes = unpack(right.column("blob").to_pylist())
@@ -237,14 +245,19 @@ def _passages(window: int, shards: int):
                     continue
                 at = np.searchsorted(found[0], own)  # the first of equal hashes has the smallest owner
                 at[at == len(found[0])] = 0
-                owner = np.where(found[0][at] == own, found[1][at], -1)
-                edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                shard = np.where(found[0][at] == own, found[1][at] % shards, -1)  # no remainder of a positive modulus is below zero
+                edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
                 parts: dict[int, list[tuple[int, int]]] = {}
-                for a, b in zip(edge.tolist(), np.append(edge[1:], len(owner)).tolist(), strict=True):
-                    if owner[a] >= 0:
-                        parts.setdefault(int(owner[a]) % shards, []).append((a, b + window - 1))
-                for shard, spans in parts.items():
-                    out.append((shard, role, doc, row, [a for a, _ in spans], sum(b - a for a, b in spans), b"\n".join(b" ".join(words[a:b]) for a, b in spans)))
+                for a, b in zip(edge.tolist(), np.append(edge[1:], len(shard)).tolist(), strict=True):
+                    if shard[a] >= 0:
+                        parts.setdefault(int(shard[a]), []).append((a, b + window - 1))
+                whole = b" ".join(words) if role else b""
+                for k, spans in parts.items():
+                    firsts, ends = [a for a, _ in spans], [b for _, b in spans]
+                    if role:
+                        out.append((k, 1, doc, row, firsts, ends, len(words), whole))
+                    else:
+                        out.append((k, 0, doc, row, firsts, ends, sum(ends) - sum(firsts), b"\n".join(b" ".join(words[a:b]) for a, b in spans)))
         cols = list(zip(*out, strict=True)) if out else [[]] * len(fields)
         return pa.table({name: pa.array(c, t) for (name, t), c in zip(fields, cols, strict=True)})
 
@@ -333,31 +346,31 @@ class Automaton:
 
 
 def _stream(window: int):
+    """Spans that a smaller document holds; and windows led to this shard that are not among them, as words."""
     def run(table: pa.Table) -> pa.Table:
-        automaton, rows = Automaton(), list(zip(*(table.column(c).to_pylist() for c in ("role", "doc", "row", "firsts", "words")), strict=True))
-        for role, doc, _, _, words in rows:
+        automaton, names = Automaton(), ("role", "doc", "row", "firsts", "ends", "words")
+        rows = list(zip(*(table.column(c).to_pylist() for c in names), strict=True))
+        for role, doc, _, _, _, words in rows:
             if role == 0:
                 for passage in words.split(b"\n"):
                     automaton.add(doc, passage.split(b" "))
         automaton.finish()
-        found: list[tuple[int, int, list[int], list[int]]] = []
-        for role, doc, row, starts, words in rows:
+        found: list[tuple] = []
+        for role, doc, row, firsts, ends, text in rows:
             if role == 0:
                 continue
-            a, b = [], []
-            for start, passage in zip(starts, words.split(b"\n"), strict=True):
-                for i in automaton.covered(doc, passage.split(b" "), window):
-                    first, end = start + i - window + 1, start + i + 1
-                    if b and first <= b[-1]:
-                        b[-1] = end
-                    else:
-                        a.append(first)
-                        b.append(end)
-            if a:
-                found.append((doc, row, a, b))
-        cols = list(zip(*found, strict=True)) if found else [[]] * 4
-        spans = pa.list_(pa.int64())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc", "row", "firsts", "ends"), cols, (pa.int64(), pa.int64(), spans, spans), strict=True)})
+            words = text.split(b" ")
+            starts = np.array(automaton.covered(doc, words, window), np.int64) - (window - 1)
+            edge = np.flatnonzero(np.diff(starts, prepend=-window - 1) > window) if len(starts) else starts
+            a = starts[edge]
+            b = starts[np.append(edge[1:] - 1, len(starts) - 1)] + window if len(starts) else starts
+            led = np.concatenate([np.arange(x, y - window + 1) for x, y in zip(firsts, ends, strict=True)])
+            lost = np.setdiff1d(led, starts, assume_unique=True)
+            if len(a) or len(lost):
+                found.append((doc, row, a, b, [{"first": x, "words": b" ".join(words[x : x + window])} for x in lost.tolist()]))
+        cols = list(zip(*found, strict=True)) if found else [[]] * 5
+        types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.struct([("first", pa.int64()), ("words", pa.binary())])))
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc", "row", "firsts", "ends", "lost"), cols, types, strict=True)})
 
     return run
 
@@ -388,20 +401,26 @@ def without_copies(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark, 16)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, doc_buckets, shards = 4 * parts, prime(3 * parts), prime(4 * parts)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, doc_buckets, shards = max(4 * parts, size // HASHES), prime(max(3 * parts, size // TEXTS)), prime(max(4 * parts, size // SHARD))
     schema = "kind int, bucket int, blob binary"
     asked = base.mapInArrow(_scan(window, buckets, doc_buckets), schema).repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
     answers = materialize(asked.mapInArrow(_answer(doc_buckets), schema)).select("bucket", "blob")
-    # rows with one doc_id are told apart by their texts
-    held = base.withColumn("row", F.xxhash64("text")).withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(doc_buckets)).cast("int"))
+    # rows with one doc_id are told apart by their texts; those without are dealt by them, as nothing joins them
+    text = F.xxhash64("text")
+    held = base.withColumn("row", text).withColumn("bucket", F.pmod(F.coalesce("doc_id", text), F.lit(doc_buckets)).cast("int"))
     passages = held.where("doc_id is not null").groupBy("bucket").cogroup(answers.groupBy("bucket"))
-    passages = materialize(passages.applyInArrow(_passages(window, shards), "shard int, role int, doc long, row long, firsts array<long>, n_words long, words binary"))
+    passages = materialize(passages.applyInArrow(_passages(window, shards), "shard int, role int, doc long, row long, firsts array<long>, ends array<long>, n_words long, words binary"))
     # a shard's automaton goes to as many tasks as its documents need for even shares: one row a shard decides
     load = passages.groupBy("shard").agg(F.coalesce(F.sum(F.when(F.col("role") == 1, F.col("n_words"))), F.lit(0)).alias("asked"))
     share = max(20_000, 2 * (load.agg(F.avg("asked")).first()[0] or 0))
     load = load.where("asked > 0").select("shard", F.ceil(F.col("asked") / share).cast("int").alias("tasks"))
     dealt = passages.join(load, "shard").withColumn("task", F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.expr("pmod(xxhash64(doc), tasks)").cast("int")))))
-    spans = dealt.select("shard", "task", "role", "doc", "row", "firsts", "words").groupBy("shard", "task").applyInArrow(_stream(window), "doc long, row long, firsts array<long>, ends array<long>")
-    spans = spans.withColumn("bucket", F.pmod("doc", F.lit(doc_buckets)).cast("int"))
+    streamed = dealt.select("shard", "task", "role", "doc", "row", "firsts", "ends", "words").groupBy("shard", "task")
+    streamed = materialize(streamed.applyInArrow(_stream(window), "doc long, row long, firsts array<long>, ends array<long>, lost array<struct<first:long,words:binary>>"))
+    lost = streamed.select("doc", "row", F.explode("lost").alias("w")).select("doc", "row", "w.first", "w.words")
+    owner = lost.groupBy("words").agg(F.min("doc").alias("owner"))
+    again = lost.join(owner, "words").where("doc > owner").select("doc", "row", F.array("first").alias("firsts"), F.array(F.col("first") + window).alias("ends"))
+    spans = streamed.where(F.size("firsts") > 0).drop("lost").unionByName(again).withColumn("bucket", F.pmod("doc", F.lit(doc_buckets)).cast("int"))
     return held.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<first:long,end:long>>")
