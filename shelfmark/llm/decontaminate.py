@@ -10,7 +10,8 @@ the seed's place; the local alignment score over that of a full match decides, s
 paraphrased copies count as well.
 
 Benchmarks are taken in chunks of at most CHUNK bytes of text, each broadcast on its own and held against all
-documents; there is no limit on the number of chunks. Items with null text or fewer words than a seed match nothing. Null and
+documents; there is no limit on the number of chunks. An item with fewer words than a seed is found where exactly
+these words follow one another, with score 1. Items with null text or without words match nothing. Null and
 empty documents match nothing. Repeated documents are found each. Extra columns do not matter.
 """
 
@@ -64,7 +65,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
         self.ids, self.items = [], []
-        codes, owner, place = [], [], []
+        codes, owner, place, short = [], [], [], defaultdict(list)
         for item, text in items:
             seq = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int64)
             if len(seq) >= SEED:
@@ -74,6 +75,9 @@ class Index:
                 place.append(np.arange(len(grams)))
                 self.ids.append(item)
                 self.items.append(seq)
+            elif len(seq):
+                short[len(seq), int(self.grams(seq, len(seq))[0])].append((item, len(seq)))
+        self.short = {n: dict(sorted((c, found) for (m, c), found in short.items() if m == n)) for n in {n for n, _ in short}}
         flat = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.codes, self.owner, self.place = flat[order], (np.concatenate(owner) if owner else np.empty(0, int))[order], (np.concatenate(place) if place else np.empty(0, int))[order]
@@ -82,9 +86,9 @@ class Index:
         self.use(np.ones(len(self.codes), bool))
 
     @staticmethod
-    def grams(seq: np.ndarray) -> np.ndarray:
+    def grams(seq: np.ndarray, size: int = SEED) -> np.ndarray:
         s = seq.astype(np.uint64)
-        return sum(s[k : len(s) - SEED + 1 + k] * _FACTORS[k] for k in range(SEED))
+        return sum(s[k : len(s) - size + 1 + k] * _FACTORS[k] for k in range(size))
 
     def use(self, kept: np.ndarray) -> None:
         self.codes, self.owner, self.place, self.common = self.codes[kept], self.owner[kept], self.place[kept], self.common[kept]
@@ -145,11 +149,22 @@ class Index:
             out += [(item, a, b) for a, b, sure in parts if sure or self.enough(seq[a:b], item, least)]
         return out
 
+    def exact(self, seq: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item_id, first, end): the first place of each item that is too short for a seed."""
+        for size, found in self.short.items():
+            if len(seq) >= size:
+                codes, first = np.unique(self.grams(seq, size), return_index=True)
+                for k in np.flatnonzero(np.isin(codes, np.array(list(found), np.uint64))).tolist():
+                    if (seq[first[k] : first[k] + size] > 0).all():
+                        yield from ((item, int(first[k]), int(first[k]) + n) for item, n in found[int(codes[k])])
+
     def matches(self, texts: list[str | None], least: float) -> list[tuple[int, int, float, int, int]]:
         """(row, item_id, score, first word, end) of the best alignment with each item that scores at least so much."""
-        tasks, seqs = [], {}
+        tasks, seqs, whole = [], {}, []
         for row, text in enumerate(texts):
             seq = self.numbers(text)
+            if self.short:
+                whole += [(row, item, 1.0, a, b) for item, a, b in self.exact(seq)]
             if found := self.windows(seq, least):
                 seqs[row] = seq
                 tasks += [(row, *w) for w in found]
@@ -174,7 +189,7 @@ class Index:
                     new = (float(share[k]), b - e, a + int(end[k]))
                     if new > best.get((row, item), (-1.0, 0, 0)):
                         best[row, item] = new
-        return [(row, self.ids[item], *m) for (row, item), m in best.items()]
+        return whole + [(row, self.ids[item], *m) for (row, item), m in best.items()]
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:

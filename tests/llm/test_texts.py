@@ -124,7 +124,7 @@ def test_leaks_are_found_whole_and_edited(spark):
     noise = lambda n: " ".join(rng.choice([f"n{k}" for k in range(3000)], n))
     edited = ITEM.replace("brown", "red").replace("seven wizards", "eight old wizards").replace("very ", "")
     rows = [(1, f"{noise(200)} {ITEM} {noise(100)}"), (2, f"{noise(50)} {edited.upper()}!"), (3, noise(300)), (4, "the quick brown fox " + noise(40)), (5, ITEM), *ODD]
-    tests = spark.createDataFrame([(70, ITEM), (71, noise(30)), (72, None), (73, "two words"), (74, "")], "item_id long, text string")
+    tests = spark.createDataFrame([(70, ITEM), (71, noise(30)), (72, None), (73, "two worlds"), (74, "")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs(spark, rows), tests).collect()}
     assert set(got) == {(1, 70), (2, 70), (5, 70)}
     assert got[1, 70]["score"] == got[5, 70]["score"] == 1.0 and 0.5 <= got[2, 70]["score"] < 1
@@ -141,6 +141,32 @@ def test_an_item_in_many_documents_is_still_found(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got) == list(range(60)) and {r["item_id"] for r in got} == {0}
 
 
+def test_short_items_are_found_as_they_are(spark):
+    rows = [(1, "so Two, words here"), (2, "words two"), (3, "two"), (4, "two words two words")]
+    tests = spark.createDataFrame([(8, "two words"), (9, "Here!"), (10, "?"), (8, "two words")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["score"], r["first_word"], r["end_word"]) for r in decontaminate.leaks(docs(spark, rows), tests).distinct().collect())
+    assert got == [(1, 8, 1.0, 1, 3), (1, 9, 1.0, 3, 4), (4, 8, 1.0, 0, 2)]
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.leaks(docs(spark, rows), none).count() == 0 and decontaminate.clean(docs(spark, rows), none).count() == 4
+
+
+def test_leaks_equal_every_document_against_every_item(spark):
+    rng = np.random.default_rng(9)
+    words = [f"v{k}" for k in range(400)]
+    items = [[*rng.choice(words, int(rng.integers(5, 40)))] for _ in range(12)]
+    rows = []
+    for k in range(90):
+        item = items[int(rng.integers(12))]
+        part = [w for w in item[: int(len(item) * rng.uniform(0.3, 1.0)) + 1] if rng.random() > 0.08]
+        rows.append((k, " ".join([*rng.choice(words, int(rng.integers(0, 60))), *part, *rng.choice(words, int(rng.integers(0, 60)))])))
+    tests = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(docs(spark, rows), tests).collect()}
+    want = {(k, j): s for k, t in rows for j, x in enumerate(items) if (s := slow_alignment(x, t.split()) / (2 * len(x))) >= 0.5}
+    seeded = {(k, j) for k, j in want if {tuple(items[j][i : i + 3]) for i in range(len(items[j]) - 2)} & {tuple(t[i : i + 3]) for t in [rows[k][1].split()] for i in range(len(t) - 2)}}
+    assert set(got) <= set(want) and seeded <= set(got) and len(want) > 30  # a copy without three words in a row in common has no seed
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 def test_items_quoted_in_part_by_very_many_are_found(spark):
     item = [f"i{k}" for k in range(40)]
     rows = [(k, f"x{k} y{k} " + " ".join(item[:21]) + f" z{k}") for k in range(30)]  # 0.525 of a full match, no seed in 20 documents or fewer
