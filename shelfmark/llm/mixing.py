@@ -14,12 +14,13 @@ ids, so reruns agree.
 Null text and texts without words have size 0, take nothing and are given the whole part of their copies and a
 hashed rounding of the rest. Null source is a source, last in order. Null and repeated ids stay: equal rows are
 rounded together, each within one copy of the others, and however many they are, listed in runs of at most COPIES. In
-mix() a document is told from others by doc_id, source, size and a 64-bit hash of all its columns and which of them
-are null; columns of any name pass through. Empty tables stay empty.
+mix() a document is told from others by two 64-bit hashes of its columns and of which are null; columns of any name pass through. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,12 +88,27 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: flo
 
     Rows equal in all four are rounded together and share the outcome, each within one copy of the others.
     """
+    return _plan(docs, weights, cap, seed)[0]
+
+
+def listed(rows: DataFrame, number: str, most: int, name: str = "k") -> DataFrame:
+    """Each row as often as its number says (at most `most`), numbered from 1. Rows with more than COPIES go out in runs of so many."""
+    if most <= COPIES:
+        return rows.where(f"{number} > 0").withColumn(name, F.explode(F.expr(f"sequence(1L, {number})")))
+    few = rows.where((F.col(number) > 0) & (F.col(number) <= COPIES)).withColumn(name, F.explode(F.expr(f"sequence(1L, {number})")))
+    runs = rows.where(F.col(number) > COPIES).withColumn("run", F.explode(F.expr(f"sequence(0L, ({number} - 1) div {COPIES})"))).repartition("run")
+    return few.unionByName(runs.withColumn(name, F.explode(F.expr(f"sequence(run * {COPIES} + 1, least({number}, (run + 1) * {COPIES}))"))).drop("run"))
+
+
+def _plan(docs: DataFrame, weights: tuple[float, ...], cap: float, seed: int) -> tuple[DataFrame, int]:
+    """The plan, and how many equal rows there are at most."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"), F.col("row").cast("long").alias("row"))
     a = rows.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("m"))
-    sums = a.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n"))
+    sums = a.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n"), F.max("m").alias("most"))
     # a key without nulls; one row for each source, so a join with it adds no rows
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("g")
-    sums = materialize(sums.select(key, "source", "source_size", "n"))
+    sums = materialize(sums.select(key, "source", "source_size", "n", "most"))
+    most = sums.agg(F.max("most")).first()[0] or 0
     goals = sums.select("g", "n").join(targets(sums.select("source", "source_size"), weights, cap).select(key, "source_size", "target"), "g")
     a = a.select(key, "*").join(goals, "g")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("m")
@@ -114,8 +130,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: flo
         done = materialize(met.withColumn("made", pair).drop("docs"))
         out.append(done.select("source", "source_size", "target", F.explode("made.done").alias("x")).select("source", "source_size", "target", F.col("x.d").alias("d"), F.col("x.up").alias("up")).select(*flat))
         rest = done.where("made.open is not null").select("g", *info, "block", F.col("made.open").alias("d"))
-        most = rest.agg(F.max("blocks")).first()[0]
-        if most is None or most <= 1:
+        left = rest.agg(F.max("blocks")).first()[0]
+        if left is None or left <= 1:
             break
         now = rest.withColumn("block", F.expr(f"block div {FAN}")).withColumn("blocks", F.ceil(F.col("blocks") / FAN).cast("long"))
     out.append(rest.withColumn("up", chance(F.col("d.u"), 2) < F.col("d.p")).select(*flat))
@@ -123,13 +139,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: flo
     for more in out[1:]:
         every = every.unionByName(more)
     every = every.withColumn("all", F.col("whole") + F.col("up").cast("long"))
-    few = every.where(F.col("m") <= COPIES).withColumn("k", F.explode(F.expr("sequence(1L, m)")))
-    # runs first, dealt out before each is listed
-    runs = every.where(F.col("m") > COPIES).withColumn("run", F.explode(F.expr(f"sequence(0L, (m - 1) div {COPIES})"))).repartition("doc_id", "source", "row", "run")
-    many = runs.withColumn("k", F.explode(F.expr(f"sequence(run * {COPIES} + 1, least(m, (run + 1) * {COPIES}))"))).drop("run")
-    every = few.unionByName(many)
+    every = listed(every, "m", most)
     every = every.withColumn("copies", F.expr("cast(all div m + if(k <= pmod(all, m), 1, 0) as long)"))
-    return every.select("doc_id", "source", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return every.select("doc_id", "source", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")), most
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -140,15 +152,12 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = CAP, seed: int = 13) -> DataFrame:
     """The mixture: every document as many times as its copies, all columns as they are."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    row = F.xxhash64(F.lit(seed), *columns, *[c.isNull() for c in columns])  # nulls alone would not change a hash
-    keyed = docs.select(F.struct(*columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("of"), words().alias("n"), row.alias("row"))
-    plans = plan(materialize(keyed.select(F.col("id").alias("doc_id"), F.col("of").alias("source"), F.col("n").alias("size"), "row")), weights, cap, seed)
-    copies = plans.groupBy("doc_id", "source", "size", "row").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    # nulls alone would not change a hash; a second one, of what the plan knows of a row, makes 128 bits of it
+    row = F.xxhash64(F.lit(seed), *columns, *[c.isNull() for c in columns])
+    more = F.xxhash64(F.lit(seed + 3), "id", "of", "n", F.col("id").isNull(), F.col("of").isNull())
+    keyed = docs.select(F.struct(*columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("of"), words().alias("n"), row.alias("row")).withColumn("more", more)
+    planned, most = _plan(materialize(keyed.select(F.col("id").alias("doc_id"), F.col("of").alias("source"), F.col("n").alias("size"), "row")), weights, cap, seed)
+    copies = planned.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("n"), "row", "copies").withColumn("more", more).groupBy("row", "more").agg(F.sum("copies").alias("copies")).where("copies > 0")
     # equal rows are one here: their copies are summed above
-    one = keyed.groupBy("id", "of", "n", "row").agg(F.first("doc").alias("doc")).alias("a")
-    both = one.join(copies.alias("b"), (F.col("a.row") == F.col("b.row")) & F.col("a.id").eqNullSafe(F.col("b.doc_id")) & F.col("a.of").eqNullSafe(F.col("b.source")) & (F.col("a.n") == F.col("b.size")))
-    runs = both.select("doc", "copies")
-    few = runs.where(F.col("copies") <= COPIES).select("doc", F.explode(F.expr("sequence(1L, copies)")))
-    many = runs.where(F.col("copies") > COPIES).withColumn("run", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})"))).repartition(F.col("doc.doc_id"), F.col("run"))
-    many = many.select("doc", F.explode(F.expr(f"sequence(run * {COPIES} + 1, least(copies, (run + 1) * {COPIES}))")))
-    return few.unionByName(many).select("doc.*")
+    one = keyed.groupBy("row", "more").agg(F.first("doc").alias("doc"))
+    return listed(one.join(copies, ["row", "more"]), "copies", most * (math.ceil(cap) + 1)).select("doc.*")

@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from shelfmark.llm.common import bounded_batches, connected_components, materialize, smallest
 
@@ -220,18 +221,20 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4, posted: int =
 
 
 def _sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
-    """doc_id, node (a number for the set of shingles), n (how many), fp0, fp1, … of the set, text."""
+    """row (its number, fixed by being written), id, node (a number for the set of shingles), n (how many), fp0, fp1, … of the set, text and the whole document."""
     bounded_batches(docs.sparkSession)
     names = columns(lanes)
+    made = ["node", "n", *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingles(t, words)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            sets = [np.unique(shingles(t, words)) for t in b.column(2).cast(pa.binary()).to_pylist()]
             fps = np.array([signs(s, lanes) if len(s) else np.zeros(lanes, np.uint64) for s in sets], np.uint64).reshape(-1, lanes).view(np.int64)
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(fps[:, k]) for k in range(lanes)], b.column(1)], ["doc_id", "node", "n", *names, "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(fps[:, k]) for k in range(lanes)]], [*b.schema.names, *made])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "node", "n", *names]) + ", text string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *[StructField(c, LongType()) for c in made]]))
 
 
 def _candidates(nodes: DataFrame, lanes: int, bits: int) -> DataFrame:
@@ -318,28 +321,29 @@ def _similar(docs: DataFrame, words: int, similarity: float, lanes: int) -> tupl
     bits = int(128 * share + 3 * math.sqrt(128 * share * (1 - share)))
     names = columns(lanes)
     prints = materialize(_sketches(docs, words, lanes))
-    classes = materialize(prints.where("n > 0").groupBy("node", "n", *names).agg(F.min("doc_id").alias("doc_id")))
+    classes = materialize(prints.where("n > 0").groupBy("node", "n", *names).agg(F.min("id").alias("id"), F.min("row").alias("row")))
     roots = connected_components(_candidates(classes.select("node", *names), lanes, bits))
     grouped = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
-    texts = prints.join(grouped, "node").select("node", "root", "n", "text").dropDuplicates(["node"])
+    # one row stands for its node: its number is nobody else's, so no key of this join has many rows
+    first = grouped.join(classes.select("node", "n", "row"), "node")
+    texts = prints.select("row", "text").join(first, "row").select("node", "root", "n", "text")
     linked = connected_components(_verified(materialize(texts), words, similarity))
-    named = classes.join(linked, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    empty = prints.where("n = 0").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 0").select(F.lit(_EMPTY).alias("node"), F.lit(_EMPTY).alias("root"), "component_id")
-    return prints, smallest(named).select("node", "root", "component_id").unionByName(empty)
+    named = classes.join(linked, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    empty = prints.where("n = 0").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).where("rows > 0").select(F.lit(_EMPTY).alias("node"), F.lit(_EMPTY).alias("root"), "component_id")
+    return prints, materialize(smallest(named, "id").select("node", "root", "component_id").unionByName(empty))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 5) -> DataFrame:
     """doc_id, fingerprint of the set of shingles, component_id (smallest doc_id reachable by links), for texts whose sets have at least a similarity (Jaccard)."""
     prints, groups = _similar(docs, words, similarity, lanes)
-    return prints.join(groups, "node").select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(groups, "node").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 5) -> DataFrame:
-    """One row of each group of similar texts, all its columns as they are: the smallest doc_id that is not null; among rows with that id the smallest hash of the text, then the smallest row."""
+    """One row of each group of similar texts, all its columns as they are: the smallest doc_id that is not null; among rows with that id the smallest hash of the text, then the first row."""
     prints, groups = _similar(docs, words, similarity, lanes)
-    id_, text = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    rows = prints.join(groups.select("node", "root"), "node").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text.alias("text")).alias("row"))
-    first = rows.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("id"), F.col("row.text").alias("text")).distinct()
-    packed = docs.select(id_.alias("id"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    kept = packed.alias("p").join(first.alias("f"), F.col("p.id").eqNullSafe(F.col("f.id")) & (F.col("p.text") == F.col("f.text")), "left_semi")
-    return kept.groupBy("id", "text").agg(F.min("doc").alias("doc")).select("doc.*")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64("text").alias("text"), "row")
+    # a node's first row, and of these a root's: both are combined before they are dealt out
+    first = prints.groupBy("node").agg(F.min(rank).alias("rank")).join(groups.select("node", "root"), "node").groupBy("root").agg(F.min("rank").alias("rank"))
+    kept = prints.join(first.select(F.col("rank.row").alias("row")), "row", "left_semi")
+    return kept.select("text", "rest.*").select(*[F.col(f"`{c}`") for c in docs.columns])
