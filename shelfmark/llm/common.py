@@ -7,10 +7,12 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges that a task of connected_components writes at least, if there are so many.
+EDGES = 100_000
 #: Tables by application.
 _written: dict[str, set[str]] = {}
 
@@ -45,9 +47,8 @@ def free(spark: SparkSession) -> None:
     of all steps of an operator at once instead of the largest.
     """
     gc.collect()
-    for pause in (0.3, 0.2):
-        time.sleep(pause)
-        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.2)
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop(df: DataFrame) -> None:
@@ -96,23 +97,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # which is when Spark can split the partition of a node with very many neighbours
         return by_node.withColumn("u", F.greatest("u", "m"))  # m is never the greater
 
+    def store(df: DataFrame, tasks: int | None = None) -> tuple[DataFrame, tuple[int, int]]:
+        """Writes edges, by fewer tasks if they are few, and tells their number and a mark of them as they pass."""
+        seen = Observation()
+        df = df if tasks is None else df.coalesce(tasks)
+        out = materialize(df.observe(seen, F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)").alias("x")), release=False)
+        return out, (seen.get["n"], seen.get["x"])
+
     links = edges.where("a is not null and b is not null and a <> b")
-    now = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), release=False)
+    now, mark = store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if (mark["n"], mark["x"]) == before or not mark["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = (mark["n"], mark["x"])
+    while mark != before and mark[0]:
+        before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # no more rows than there are edges: equal ones wait for the distinct below
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = apart(large.groupBy("u").agg(F.min("v").alias("m")))
         near = large.join(least, "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, release=False)
+        after, mark = store(small, max(1, mark[0] // EDGES))
         drop(now)
         now = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def smallest(named: DataFrame, value: str = "doc_id") -> DataFrame:

@@ -38,7 +38,7 @@ from shelfmark.llm.common import bounded_batches, connected_components, material
 
 BLOCK = 2048
 #: Texts and shingles of a block in which candidates are held against each other.
-GROUP, SHINGLES = 1024, 1 << 21
+GROUP, SHINGLES = 512, 1 << 21
 #: The node of texts without a word.
 _EMPTY = int(np.array([xxhash.xxh64_intdigest(b"")], np.uint64).view(np.int64)[0])
 
@@ -284,31 +284,37 @@ def resembling(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int
     return out
 
 
-def _verified(groups: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): links by exact similarity between nodes (node, root, n, text) with one root. Groups with many texts or shingles are dealt as pairs of blocks."""
+def _verified(groups: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root): components by exact similarity of nodes (node, root, n, row) with one root; their texts come from prints. Groups with many texts or shingles are dealt as pairs of blocks."""
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / SHINGLES)).cast("long").alias("blocks"))
     cell = (F.least("k", "j") * F.col("blocks") + F.greatest("k", "j")).alias("cell")
-    dealt = groups.join(sizes, "root").withColumn("k", F.expr("pmod(xxhash64(node), blocks)")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", cell, "node", "text")
+    dealt = groups.join(sizes, "root").withColumn("k", F.expr("pmod(xxhash64(node), blocks)"))
+    # one row stands for its node: its number is nobody else's, so no key of this join has many rows
+    dealt = prints.select("row", "text").join(dealt, "row").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", cell, "blocks", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stars, now, nodes, sets = Stars(), None, [], []
+        whole, part, now, nodes, sets = Stars(), Stars(), None, [], []
 
         def take() -> None:
             for a, b in resembling(sets, similarity) if len(sets) > 1 else []:
-                stars.join([nodes[a]], [nodes[b]])
+                (whole if now[2] == 1 else part).join([nodes[a]], [nodes[b]])
 
         for batch in batches:
-            for root, at, node, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                if (root, at) != now:
+            for *key, node, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4).cast(pa.binary()).to_pylist(), strict=True):
+                if key != now:
                     take()
-                    now, nodes, sets = (root, at), [], []
+                    now, nodes, sets = key, [], []
                 nodes.append(node)
                 sets.append(np.unique(shingles(text, words)))
         take()
-        yield from stars.links()
+        for stars, done in ((whole, True), (part, False)):
+            for links in stars.links():
+                yield links.append_column("done", pa.array([done] * links.num_rows))
 
-    return dealt.repartition(parts, "root", "cell").sortWithinPartitions("root", "cell").mapInArrow(run, "a long, b long")
+    links = materialize(dealt.repartition(parts, "root", "cell").sortWithinPartitions("root", "cell").mapInArrow(run, "a long, b long, done boolean"))
+    # a group in one cell is finished there; others are joined across their cells
+    return connected_components(links.where("not done").select("a", "b")).unionByName(links.where("done").select(F.col("a").alias("node"), F.col("b").alias("root")))
 
 
 def _similar(docs: DataFrame, words: int, similarity: float, lanes: int) -> tuple[DataFrame, DataFrame]:
@@ -323,14 +329,11 @@ def _similar(docs: DataFrame, words: int, similarity: float, lanes: int) -> tupl
     prints = materialize(_sketches(docs, words, lanes))
     classes = materialize(prints.where("n > 0").groupBy("node", "n", *names).agg(F.min("id").alias("id"), F.min("row").alias("row")))
     roots = connected_components(_candidates(classes.select("node", *names), lanes, bits))
-    grouped = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
-    # one row stands for its node: its number is nobody else's, so no key of this join has many rows
-    first = grouped.join(classes.select("node", "n", "row"), "node")
-    texts = prints.select("row", "text").join(first, "row").select("node", "root", "n", "text")
-    linked = connected_components(_verified(materialize(texts), words, similarity))
+    grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = _verified(materialize(grouped.join(classes.select("node", "n", "row"), "node")), prints, words, similarity)
     named = classes.join(linked, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     empty = prints.where("n = 0").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).where("rows > 0").select(F.lit(_EMPTY).alias("node"), F.lit(_EMPTY).alias("root"), "component_id")
-    return prints, materialize(smallest(named, "id").select("node", "root", "component_id").unionByName(empty))
+    return prints, smallest(named, "id").select("node", "root", "component_id").unionByName(empty)
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 5) -> DataFrame:
