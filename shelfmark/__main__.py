@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     extract = verbs.add_parser("extract")
     extract.add_argument("archive")
     extract.add_argument("folder")
+    extract.add_argument("--overwrite", default="skip", choices=("skip", "replace", "undecided"))
     parser.add_argument("--json", action="store_true")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("shelfmark").getOrCreate()
@@ -51,10 +52,10 @@ def main(argv: list[str] | None = None) -> int:
         print(archive.preview_json())
         return 0
     failed = 0
-    results = archive.verify() if a.verb == "verify" else archive.extract(a.folder)
+    results = archive.verify() if a.verb == "verify" else archive.extract(a.folder, a.overwrite)
     for r in results.toLocalIterator():
-        failed += r["status"] != "ok"
-        show([r.asDict()], f"{r['status']:20} {r[0]}")
+        failed += r["status"] not in ("ok", "skipped")
+        show([r.asDict()], f"{r['status']:20} {r['target'] if a.verb == 'extract' else r['entry']}")
     return 1 if failed else 0
 
 

@@ -41,8 +41,8 @@ def under_folder(items: DataFrame, folder: str) -> DataFrame:
     return items.withColumn("archive_path", P.with_prefix(F.lit(folder), F.col("archive_path")))
 
 
-def renumber(items: DataFrame, order: str = "entry") -> DataFrame:
-    """entry counted from 0 again in the same order.
+def renumber(items: DataFrame, order: str = "entry", then: str | None = None) -> DataFrame:
+    """entry counted from 0 again in the same order; then: a column that orders rows of one number.
 
     Ranks come from range partitions and running sums of their sizes, so that no task sees the whole table:
     items are dealt by ranges of the old number, ranked inside, and offset by the counts before.
@@ -50,5 +50,5 @@ def renumber(items: DataFrame, order: str = "entry") -> DataFrame:
     block = F.floor(F.col(order) / 65_536)
     a = items.withColumn("_b", block)
     before = a.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = a.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1).join(before, "_b")
+    ranked = a.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(order, *([then] if then else []))) - 1).join(before, "_b")
     return ranked.withColumn("entry", (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_r", "_before")

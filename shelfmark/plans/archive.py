@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,10 @@ from shelfmark.sources import filesystem as FS
 from shelfmark.sources import flac, pcm
 
 
+#: How the generated readme begins: an entry of its name with another beginning is the user's.
+README_START = "Files with the name .flac in this archive hold audio"
+
+
 class ConflictsUnresolved(ValueError):
     """A plan whose conflicts must be resolved before it is built."""
 
@@ -34,13 +39,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Z.ZipCatalog)
 
 
-def scan_folders(spark: SparkSession, roots: list[str], exclude: list[str] = (), presets: tuple[str, ...] = ()) -> DataFrame:
-    """entry, source_path, archive_path, kind, size, mtime_ns, unix_mode: the roots in order, each walked by one task."""
+def _walked(spark: SparkSession, roots: list[str], exclude: list[str], presets: tuple[str, ...]) -> DataFrame:
     register(spark)
     rows = spark.read.format("folders").option("roots", "\n".join(roots)).option("exclude", "\n".join(exclude)).option("presets", "\n".join(presets)).load()
-    order = F.array_position(F.array(*[F.lit(r.rstrip("/") or "/") for r in roots]), F.col("root"))
-    named = rows.withColumn("root", F.element_at(F.filter(F.array(*[F.lit(r.rstrip("/") or "/") for r in roots]), lambda r: (F.col("source_path") == r) | F.startswith(F.col("source_path"), F.concat(r, F.lit("/")))), 1))
-    return E.renumber(named.withColumn("entry", order * F.lit(1 << 40) + F.col("seq")).drop("seq", "root"))
+    known = F.array(*[F.lit(r.rstrip("/") or "/") for r in roots])
+    root = F.element_at(F.filter(known, lambda r: (F.col("source_path") == r) | F.startswith(F.col("source_path"), F.concat(r, F.lit("/")))), 1)
+    return rows.withColumn("entry", F.array_position(known, root) * F.lit(1 << 40) + F.col("seq")).drop("seq")
+
+
+def scan_folders(spark: SparkSession, roots: list[str], exclude: list[str] = (), presets: tuple[str, ...] = ()) -> DataFrame:
+    """entry, source_path, archive_path, kind, size, mtime_ns, unix_mode, error: the roots in order, each walked by one task."""
+    return E.renumber(_walked(spark, list(roots), list(exclude), tuple(presets)).where("not excluded").drop("excluded"))
+
+
+def scan_excluded(spark: SparkSession, roots: list[str], exclude: list[str] = (), presets: tuple[str, ...] = ()) -> DataFrame:
+    """entry, source_path, archive_path, kind: what the patterns left out, each topmost path once, in the order of the walk."""
+    return E.renumber(_walked(spark, list(roots), list(exclude), tuple(presets)).where("excluded").select("entry", "source_path", "archive_path", "kind"))
 
 
 def scan_memory(spark: SparkSession, items: list[tuple]) -> DataFrame:
@@ -49,6 +63,16 @@ def scan_memory(spark: SparkSession, items: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "entry long, source_path string, archive_path string, kind string, size long, mtime_ns long, unix_mode int, content binary")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as they are now, written to the checkpoint folder: nothing behind them runs again. A local session without such a folder takes a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp())
+    return df.checkpoint()
+
+
 def scan_callback(items: DataFrame, read: Callable[[str], bytes]) -> DataFrame:
     """Items whose bytes a function gives, called on the executors with each source_path; one that fails leaves no content."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,18 +131,28 @@ class Plan:
 
     @classmethod
     def of(cls, items: DataFrame, audio: bool = True) -> Plan:
-        links = items.where("kind = 'symlink'").select(F.lit("symlink_skipped").alias("kind"), "source_path", F.lit("symbolic links are not archived").alias("detail"))
+        warn = lambda d, kind, detail: d.select(F.lit(kind).alias("kind"), "source_path", detail.alias("detail"))
+        links = warn(items.where("kind = 'symlink'"), "symlink_skipped", F.lit("symbolic links are not archived"))
+        if "error" in items.columns:
+            links = links.unionByName(warn(items.where("error is not null"), "unreadable", F.col("error")))
+            items = items.where("error is null or kind = 'directory'").drop("error")
         rows = with_content(items.where("kind in ('file', 'directory')"))
         seen = pcm.scan_column(F.when((F.col("kind") == "file") & F.lit(audio), F.col("content")))
         rows = rows.withColumn("scan", seen)
         good = F.col("scan.recognised") & F.col("scan.reason").isNull()
+        many = F.coalesce(good & (F.col("scan.channels") > L.MAX_STEREO_LIKE), F.lit(False))
         name = P.normalize(F.col("archive_path"))
-        entries = rows.select(
-            "entry", "source_path", F.when(good, F.concat(P.stem(name), F.lit(".flac"))).when(F.col("kind") == "directory", F.concat(name, F.lit("/"))).otherwise(name).alias("output_name"), "kind", F.when(good, "flac").otherwise("general").alias("codec"), "size", "mtime_ns", "unix_mode",
-            F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("int").alias("channel_index"), F.lit(None).cast("int").alias("channel_count"), F.when(good, P.extension(name)).alias("original_extension"), F.lit(None).cast("string").alias("kept_restored_name"),
-            F.when(F.col("scan.recognised"), F.col("scan.reason")).alias("fallback_reason"), "content",
+        whole = rows.select(
+            "entry", "source_path", F.when(many, name).when(good, F.concat(P.stem(name), F.lit(".flac"))).when(F.col("kind") == "directory", F.concat(name, F.lit("/"))).otherwise(name).alias("output_name"), "kind", F.when(many, "flac_mono").when(good, "flac").otherwise("general").alias("codec"), "size", "mtime_ns", "unix_mode",
+            F.when(many, F.hex(P.group_id(P.stem(name), F.col("size"), F.col("mtime_ns")))).alias("group_id"), F.when(good, P.extension(name)).alias("original_extension"), F.lit(None).cast("string").alias("kept_restored_name"),
+            F.when(F.col("scan.recognised"), F.col("scan.reason")).alias("fallback_reason"), F.when(many, F.col("scan.channels")).otherwise(1).alias("channels"), "content",
         )
-        return cls(E.renumber(L.with_readme(entries)), links)
+        # one row for each channel of a file with more than a stream can hold; the first carries the bytes for all
+        each = L.explode_channels(whole)
+        each = each.withColumn("content", F.when(F.coalesce("channel_index", F.lit(1)) == 1, F.col("content")))
+        columns = ["entry", "source_path", "output_name", "kind", "codec", "size", "mtime_ns", "unix_mode", "group_id", "channel_index", "channel_count", "original_extension", "kept_restored_name", "fallback_reason", "content"]
+        # sources are read and parsed once, whatever is asked of the plan
+        return cls(settled(E.renumber(L.with_readme(settled(each.select(*columns))), then="channel_index")), links)
 
     def conflicts(self) -> DataFrame:
         return L.conflicts(self.entries)
@@ -139,9 +173,17 @@ class Plan:
 
     def encoded(self, level: int = 6) -> DataFrame:
         """Entries encoded on the executors: FLAC stored, others deflated segment by segment where that pays off, else stored."""
-        e = self.entries.withColumn("content", F.coalesce("content", F.when(F.col("codec") == "generated", F.encode(F.lit("Files with the name .flac in this archive hold audio; extraction restores the originals.\r\n"), "UTF-8")), F.lit(b"")))
-        e = e.withColumn("made", F.when(F.col("codec") == "flac", flac.to_flac(F.col("content"))))
-        e = e.withColumn("content", F.when(F.col("made.status") == "ok", F.col("made.content")).otherwise(F.col("content"))).withColumn("size", F.octet_length("content").cast("long"))
+        e = self.entries.withColumn("content", F.coalesce("content", F.when(F.col("codec") == "generated", F.encode(F.lit(README_START + "; extraction restores the originals.\r\n"), "UTF-8")), F.lit(b"")))
+        e = e.withColumn("made", F.when(F.col("codec") == "flac", flac.to_flac(F.col("content"), F.col("original_extension"))))
+        # what cannot be encoded after all goes in as it is, under its own name
+        failed = (F.col("codec") == "flac") & (F.col("made.status") != "ok")
+        e = e.withColumn("output_name", F.when(failed, P.restored_name(F.col("output_name"), F.lit(False), F.col("original_extension"), F.col("kept_restored_name"))).otherwise(F.col("output_name")))
+        e = e.withColumn("codec", F.when(failed, "general").otherwise(F.col("codec"))).withColumn("content", F.when(F.col("made.status") == "ok", F.col("made.content")).otherwise(F.col("content"))).drop("made")
+        first = e.where("codec = 'flac_mono' and channel_index = 1")
+        members = first.select("group_id", F.posexplode(flac.to_members(F.col("content"), F.col("original_extension"))).alias("at", "stream")).select("group_id", (F.col("at") + 1).alias("channel_index"), "stream")
+        mono = e.where("codec = 'flac_mono'").drop("content").join(members, ["group_id", "channel_index"], "left")
+        mono = mono.withColumn("content", F.coalesce("stream", F.raise_error(F.concat(F.lit("no stream for "), "output_name")).cast("binary"))).select(*e.columns)
+        e = settled(e.where("codec <> 'flac_mono'").unionByName(mono).withColumn("size", F.octet_length("content").cast("long")))
         pays = (F.col("codec") == "general") & (F.col("size") > 0) & F.col("fallback_reason").isNull()
         packed = F.when(pays, K.deflated_size(F.col("content"), level)).otherwise(F.col("size"))
         e = e.withColumn("method", F.when(pays & S.pays_off(packed, F.col("size")), 8).otherwise(0))
@@ -174,41 +216,80 @@ class Archive:
         return bool(self.rows().agg(F.bool_or("zip64")).first()[0])
 
     def entries(self) -> DataFrame:
-        """Rows with what FLAC headers say, read only for names that end in .flac."""
+        """Rows with what FLAC headers say, read only for names that end in .flac; restores_to: the name of the file that a restorable entry becomes."""
         rows = self.rows().where("error is null")
         heads = flac.header_rows(Z.read_entries(Z.flac_candidates(rows)).where("content is not null").select(F.col("entry").cast("string").alias("path"), "content"))
         found = heads.where("flac.error is null").select(F.col("path").cast("long").alias("entry"), "flac")
-        return rows.join(found, "entry", "left").withColumn("restorable", F.col("flac.original_size").isNotNull()).withColumn("original_size", F.col("flac.original_size"))
-
-    def extraction_plan(self, there: DataFrame, base: str | None = None, selected: DataFrame | None = None) -> dict[str, DataFrame]:
-        none = lambda t: F.lit(None).cast(t)
-        e = self.entries().withColumns({"supported": F.col("method") != "unsupported", "generated": F.col("name") == L.README, "group_id": none("string"), "channel_index": none("int"), "channel_count": none("int"), "sha256": none("string"), "samples": none("long"), "bits": none("int")})
+        e = rows.join(found, "entry", "left")
+        e = e.withColumns({"group_id": F.col("flac.group_id"), "channel_index": F.col("flac.channel_index"), "channel_count": F.col("flac.channel_count"), "sha256": F.col("flac.group_id"), "samples": F.col("flac.samples"), "bits": F.col("flac.bits")})
+        whole = X.complete_groups(e.where("group_id is not null"))
+        e = e.join(whole, "group_id", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+        mono = F.col("group_id").isNotNull()
+        e = e.withColumn("original_size", F.col("flac.original_size")).withColumn("restorable", F.when(mono, F.col("complete")).otherwise(F.col("original_size").isNotNull()))
+        return settled(e.withColumn("restores_to", F.when(F.col("restorable"), P.restored_name(F.col("name"), mono, F.coalesce("flac.original_extension", F.lit("")), F.lit(None).cast("string")))))
+
+    def extraction_plan(self, there: DataFrame, base: str | None = None, selected: DataFrame | None = None, entries: DataFrame | None = None) -> dict[str, DataFrame]:
+        """items and issues; there: targets that exist."""
+        e = self.entries() if entries is None else entries
+        notes = Z.read_entries(self.rows().where((F.col("name") == L.README) & F.col("error").isNull() & (F.col("size") < 1 << 20)))
+        ours = notes.where(F.startswith(F.col("content").cast("string"), F.lit(README_START))).select("entry", F.lit(True).alias("generated"))
+        e = e.withColumns({"supported": (F.col("method") != "unsupported") & (F.col("kind") != "symlink"), "name": F.coalesce("restores_to", "name")}).join(ours, "entry", "left").withColumn("generated", F.coalesce("generated", F.lit(False)))
         return X.extraction_plan(e, there, base, selected)
 
-    def decoded(self, restore: bool = True) -> DataFrame:
-        """entry, name, kind, content, status; restorable audio as its original under its own name."""
-        e = self.entries()
+    def decoded(self, restore: bool = True, entries: DataFrame | None = None) -> DataFrame:
+        """entry, name, kind, content, status, members, unix_mode, mtime: every file to be, restorable audio as its original under its own name, a group of channels as one row."""
+        e = self.entries() if entries is None else entries
+        if not restore:
+            e = e.withColumns({"restorable": F.lit(False), "group_id": F.lit(None).cast("string"), "restores_to": F.lit(None).cast("string")})
+        facts = ["entry", F.coalesce("restores_to", "name").alias("name"), "kind", "unix_mode", "mtime"]
         data = e.join(Z.read_entries(self.rows().where("error is null")).select("entry", "content", "status"), "entry")
-        back = F.when(F.col("restorable") & F.lit(restore) & (F.col("status") == "ok"), flac.from_flac(F.col("content")))
-        data = data.withColumn("back", back)
-        original = {"52494646": ".wav", "52463634": ".wav", "464F524D": ".aif", "63616666": ".caf", "72696666": ".w64"}
-        ext = D.pick(F.hex(F.substring("back.content", 1, 4)), original, F.lit(".wav"))
-        return data.select("entry", F.when(F.col("back.content").isNotNull(), F.concat(P.stem(F.col("name")), ext)).otherwise(F.col("name")).alias("name"), "kind", F.coalesce("back.content", "content").alias("content"), F.coalesce("back.status", "status").alias("status"))
-
-    def extract(self, root: str, overwrite: str = "skip") -> DataFrame:
-        """Writes what is safe to write below a folder; target, status."""
-        d = self.decoded().withColumn("target", P.extraction_path(F.col("name")))
-        items = X.refuse_collisions(d.where("target is not null and kind <> 'symlink'"))
-        return FS.write_tree(items.where("not refused and not merged and status = 'ok'"), root)
+        alone = data.where("group_id is null or not complete").withColumn("back", F.when(F.col("restorable") & (F.col("status") == "ok"), flac.from_flac(F.col("content"))))
+        short = F.col("group_id").isNotNull() & (F.col("status") == "ok")
+        status = F.when(short, "incomplete_group").otherwise(F.coalesce("back.status", "status"))
+        alone = alone.select(*facts, F.when(status == "ok", F.coalesce("back.content", "content")).alias("content"), status.alias("status"), F.array("entry").alias("members"))
+        groups = data.where("group_id is not null and complete").groupBy("group_id").agg(
+            F.min("entry").alias("entry"), F.min("restores_to").alias("name"), F.min("kind").alias("kind"), F.min("unix_mode").alias("unix_mode"), F.min("mtime").alias("mtime"),
+            F.min(F.when(F.col("status") != "ok", F.col("status"))).alias("bad"), F.array_sort(F.collect_list(F.struct("channel_index", "entry", "content"))).alias("m"),
+        )
+        groups = groups.withColumn("back", F.when(F.col("bad").isNull(), flac.from_members(F.transform("m", lambda x: x["content"]))))
+        groups = groups.select("entry", "name", "kind", "unix_mode", "mtime", F.col("back.content").alias("content"), F.coalesce("bad", "back.status").alias("status"), F.transform("m", lambda x: x["entry"]).alias("members"))
+        return alone.unionByName(groups)
+
+    def extract(self, root: str, overwrite: str = "skip", base: str | None = None, selected: DataFrame | None = None) -> DataFrame:
+        """Writes what may be written below a folder, at once, and tells the outcome: entry, target, status, a row for every file to be and for every entry that is none.
+
+        A file that is there already stays (`skip`, `undecided`) unless overwrite is `replace`. Entries with unsafe,
+        colliding or clashing targets, of incomplete groups or that do not decode are not written.
+        """
+        if overwrite not in ("skip", "replace", "undecided"):
+            raise ValueError(f"not a decision: {overwrite}")
+        e = self.entries()
+        names = e.select(P.extraction_path(F.coalesce("restores_to", "name")).alias("target"))
+        if base:
+            prefix = base.rstrip("/") + "/"
+            names = names.select(F.when(F.startswith("target", F.lit(prefix)), F.expr(f"substring(target, {len(prefix) + 1})")).otherwise(F.col("target")).alias("target"))
+        plan = self.extraction_plan(settled(FS.existing(names, root)), base, selected, e)
+        items = settled(X.decide(plan["items"], overwrite)).join(self.decoded(entries=e).select("entry", "content", "status", "unix_mode", "mtime"), "entry")
+        refused = plan["issues"].where("kind <> 'exists'").select("entry", "target", F.col("kind").alias("status"))
+        write = F.col("decision").isin("write", "replace")
+        bad = items.where(write & (F.col("status") != "ok") & (F.col("kind") != "directory")).select("entry", "target", "status")
+        left = items.where(~write).select("entry", "target", F.when(F.col("decision") == "skip", "skipped").otherwise("exists").alias("status"))
+        done = FS.write_tree(items.where(write & ((F.col("status") == "ok") | (F.col("kind") == "directory"))), root)
+        rows = done.unionByName(bad).unionByName(left).unionByName(refused)
+        # written once: what is asked of the outcome later does not write again
+        rows = settled(rows)
+        FS.discard(FS.finish_folders(items.where("kind = 'directory'"), root))
+        return rows
 
     def verify(self) -> DataFrame:
-        """entry, status, from decoding and restoring everything and keeping nothing."""
-        return self.decoded().select("entry", F.when(F.col("kind") == "directory", "ok").otherwise(F.col("status")).alias("status"))
+        """entry, status, from decoding and restoring everything and keeping nothing; the channels of a group share what became of it."""
+        status = F.when(F.col("kind") == "directory", "ok").otherwise(F.col("status"))
+        return self.decoded().select(F.explode("members").alias("entry"), status.alias("status"))
 
     def preview(self, rows: int = B.PREVIEW_ROWS) -> dict:
         e = self.entries()
         t = B.preview_totals(e).first()
-        audio = B.restorable_audio(e.withColumn("group_id", F.lit(None).cast("string"))).first()
+        audio = B.restorable_audio(e).first()
         label = D.preview_method(F.col("raw_method"), F.col("flac").isNotNull())
         first = B.preview(e, rows).select("name", "kind", "size", "packed", label.alias("method"), "truncated").collect()
         return {"files": t["files"], "size": t["size"], "packed": t["packed"], "restorable": audio["restorable"], "partial": audio["partial"], "truncated": any(r["truncated"] for r in first), "entries": [{k: r[k] for k in ("name", "kind", "size", "packed", "method")} for r in first]}

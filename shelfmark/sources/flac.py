@@ -45,10 +45,35 @@ def crc8(data: bytes) -> int:
     return c
 
 
+def _advance(state: np.ndarray) -> np.ndarray:
+    """CRC-16 states after one more zero byte."""
+    table = np.array(_CRC16, np.uint16)
+    return (state << np.uint16(8)) ^ table[state >> np.uint16(8)]
+
+
+def _crc16_tables(width: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each byte at each of `width` places adds to a checksum, and what the state before them becomes (by its high and low byte)."""
+    added = np.empty((width, 256), np.uint16)
+    added[-1] = _CRC16
+    for k in range(width - 1, 0, -1):
+        added[k - 1] = _advance(added[k])
+    high, low = np.arange(256, dtype=np.uint16) << np.uint16(8), np.arange(256, dtype=np.uint16)
+    for _ in range(width):
+        high, low = _advance(high), _advance(low)
+    return added, high, low
+
+
+_ADDED, _HIGH, _LOW = _crc16_tables()
+
+
 def crc16(data: bytes) -> int:
+    """A checksum is linear in its bytes: 256 places at a time are looked up at once."""
+    width = len(_ADDED)
+    padded = np.frombuffer(bytes(-len(data) % width) + bytes(data), np.uint8).reshape(-1, width)
+    blocks = np.bitwise_xor.reduce(_ADDED[np.arange(width), padded], axis=1).tolist()
     c = 0
-    for b in data:
-        c = (c << 8 & 0xFFFF) ^ _CRC16[c >> 8 ^ b]
+    for block in blocks:
+        c = int(_HIGH[c >> 8]) ^ int(_LOW[c & 255]) ^ block
     return c
 
 
@@ -266,7 +291,9 @@ def encode(x: np.ndarray, rate: int, bits: int, comments: list[tuple[str, str]]
 class _Reader:
     def __init__(self, data: bytes) -> None:
         self.bits = np.unpackbits(np.frombuffer(data, np.uint8))
-        self.ones = np.flatnonzero(self.bits)
+        n = len(self.bits)
+        # for each place the next bit that is set; n: none
+        self.next_one = memoryview(np.minimum.accumulate(np.where(self.bits, np.arange(n, dtype=np.int32), np.int32(n))[::-1])[::-1].copy()) if n else memoryview(b"")
         self.at = 0
 
     def take(self, n: int) -> int:
@@ -293,20 +320,19 @@ class _Reader:
         return np.where(b[:, 0] == 1, v - (1 << n), v)
 
     def rice(self, count: int, k: int) -> np.ndarray:
-        """Quotients are runs of zeros; the end of each number tells where the next begins, so ones are visited in order."""
-        starts, quotients, at, ones = np.empty(count, np.int64), np.empty(count, np.int64), self.at, self.ones
-        j = int(np.searchsorted(ones, at))
-        listed, last = ones, len(ones)
-        for i in range(count):
-            while j < last and listed[j] < at:
-                j += 1
-            if j >= last:
-                raise FlacError("a frame is cut off")
-            stop = int(listed[j])
-            quotients[i], starts[i] = stop - at, stop + 1
-            at = stop + 1 + k
+        """Quotients are runs of zeros; the end of each number tells where the next begins."""
+        at, step, next_one, stops = self.at, k + 1, self.next_one, []
+        try:
+            for _ in range(count):
+                stop = next_one[at]
+                stops.append(stop)
+                at = stop + step
+        except IndexError:
+            raise FlacError("a frame is cut off") from None
         if at > len(self.bits):
             raise FlacError("a frame is cut off")
+        starts = np.array(stops, np.int64) + 1
+        quotients = starts - 1 - np.concatenate(([self.at], starts[:-1] + k))[:count]
         self.at = at
         low = np.zeros(count, np.int64)
         for b in range(k):
@@ -395,9 +421,16 @@ def decode_frame(data: bytes, info: StreamInfo) -> tuple[np.ndarray, int, int]:
 def decode(data: bytes) -> tuple[Header, np.ndarray]:
     head = read_header(data)
     at, parts = head.size, []
-    longest = max(head.info.max_frame, 1 << 16) + 64
+    longest = (head.info.max_frame or 1 << 14) + 64
     while at < len(data):
-        x, _, used = decode_frame(data[at : at + longest] if head.info.max_frame else data[at:], head.info)
+        while True:
+            try:
+                x, _, used = decode_frame(data[at : at + longest], head.info)
+                break
+            except (FlacError, IndexError) as e:
+                if at + longest >= len(data):
+                    raise FlacError(str(e)) from e
+                longest *= 4  # the largest frame is not stated, or wrongly
         parts.append(x)
         at += used
     x = np.concatenate(parts) if parts else np.zeros((0, head.info.channels), np.int32)
@@ -433,17 +466,52 @@ def split_frames(data: bytes, info: StreamInfo, start: int) -> list[tuple[int, i
     return out
 
 
-def archive_audio(data: bytes) -> bytes:
-    """A PCM file as FLAC that restores to the same bytes: its other blocks, what follows it and its digest travel in application blocks."""
+#: Channels that one stream can hold.
+MOST_CHANNELS = 8
+
+
+def _parts(data: bytes) -> tuple[pcm.Layout, np.ndarray, list[tuple[str, bytes]]]:
+    """Layout and samples of a PCM file, and the application blocks that it is restored from."""
     l = pcm.scan(data).layout
     if l is None:
         raise FlacError("not a PCM file to convert")
-    x = pcm.samples(data, l)
     records = pcm.foreign_records(data, l)
     audio = next(k for k, c in enumerate(l.chunks) if c[3])
     layout = struct.pack(">HHIBBB", len(records), audio, l.padding, l.width, l.big, l.unsigned8) + hashlib.sha256(data).digest() + data[l.end :]
-    packed = pack_records(records)
-    return encode(x, l.rate, l.bits, pcm.tags(data, l), [("shlf", layout), ("shlr", packed)])
+    return l, pcm.samples(data, l), [("shlf", layout), ("shlr", pack_records(records))]
+
+
+def archive_audio(data: bytes, extension: str = "") -> bytes:
+    """A PCM file as FLAC that restores to the same bytes: its other blocks, what follows it, its digest and its extension travel in application blocks."""
+    l, x, blocks = _parts(data)
+    if l.channels > MOST_CHANNELS:
+        raise FlacError("more channels than a stream can hold")
+    return encode(x, l.rate, l.bits, pcm.tags(data, l), [*blocks, ("shle", extension.encode())])
+
+
+def archive_channels(data: bytes, extension: str = "") -> list[bytes]:
+    """A PCM file of any number of channels as one stream each; the first also holds what the file is restored from."""
+    l, x, blocks = _parts(data)
+    digest = hashlib.sha256(data).digest()
+    group = lambda c: ("shlg", struct.pack(">II", c, l.channels) + digest)
+    return [encode(x[:, c - 1 : c], l.rate, l.bits, pcm.tags(data, l, c), [group(c), ("shle", extension.encode()), *(blocks if c == 1 else [])]) for c in range(1, l.channels + 1)]
+
+
+def member_of(head: Header) -> tuple[int, int, bytes] | None:
+    """Channel, channels and the digest of the whole file, of a stream that is one channel of it."""
+    b = dict(head.applications).get("shlg")
+    return (*struct.unpack_from(">II", b), b[8:40]) if b is not None and len(b) >= 40 else None
+
+
+def restore_channels(members: list[bytes]) -> bytes:
+    """The file whose channels these streams are, in any order."""
+    found = [decode(bytes(m)) for m in members]
+    named = [member_of(h) for h, _ in found]
+    if None in named or len({(n, d) for _, n, d in named}) != 1 or named[0][1] != len(members):
+        raise FlacError("incomplete group")
+    x = interleave([(c, x) for (c, _, _), (_, x) in zip(named, found, strict=True)])
+    first = next(dict(h.applications) for (c, _, _), (h, _) in zip(named, found, strict=True) if c == 1)
+    return _rebuilt(first, x)
 
 
 def pack_records(records: list[tuple[str, bytes]]) -> bytes:
@@ -461,12 +529,17 @@ def unpack_records(packed: bytes) -> list[tuple[str, bytes]]:
 
 def restore(data: bytes) -> bytes:
     head, x = decode(data)
-    found = dict(head.applications)
+    if member_of(head):
+        raise FlacError("one channel of a group")
+    return _rebuilt(dict(head.applications), x)
+
+
+def _rebuilt(found: dict[str, bytes], x: np.ndarray) -> bytes:
     if "shlf" not in found or "shlr" not in found:
         raise FlacError("nothing to restore from")
     b = found["shlf"]
     _, audio, padding, width, big, unsigned8 = struct.unpack_from(">HHIBBB", b)
-    l = pcm.Layout("", width=width, big=bool(big), unsigned8=bool(unsigned8), channels=head.info.channels)
+    l = pcm.Layout("", width=width, big=bool(big), unsigned8=bool(unsigned8), channels=x.shape[1])
     out = pcm.rebuild(unpack_records(found["shlr"]), pcm.sample_bytes(x, l), audio, padding, b[43:])
     if hashlib.sha256(out).digest() != b[11:43]:
         raise FlacError("digest of the restored file")
@@ -479,7 +552,8 @@ def original_size(head: Header) -> int | None:
     if "shlf" not in found or "shlr" not in found:
         return None
     _, _, padding, width, _, _ = struct.unpack_from(">HHIBBB", found["shlf"])
-    return sum(len(b) for _, b in unpack_records(found["shlr"])) + head.info.total * head.info.channels * width + padding + len(found["shlf"]) - 43
+    channels = member_of(head)[1] if member_of(head) else head.info.channels
+    return sum(len(b) for _, b in unpack_records(found["shlr"])) + head.info.total * channels * width + padding + len(found["shlf"]) - 43
 
 
 def interleave(members: list[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -492,10 +566,21 @@ def interleave(members: list[tuple[int, np.ndarray]]) -> np.ndarray:
 
 _HEADER = T.StructType([
     T.StructField("rate", T.LongType()), T.StructField("channels", T.IntegerType()), T.StructField("bits", T.IntegerType()), T.StructField("samples", T.LongType()), T.StructField("md5", T.StringType()),
-    T.StructField("comments", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))), T.StructField("original_size", T.LongType()), T.StructField("error", T.StringType()),
+    T.StructField("comments", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))), T.StructField("original_size", T.LongType()),
+    T.StructField("original_extension", T.StringType()), T.StructField("group_id", T.StringType()), T.StructField("channel_index", T.IntegerType()), T.StructField("channel_count", T.IntegerType()), T.StructField("error", T.StringType()),
 ])
 
 
+def _origin(h: Header) -> dict:
+    """Extension of the file a stream comes from, as it says or as its first block tells, and which channel it is."""
+    found, member = dict(h.applications), member_of(h)
+    extension = found["shle"].decode("utf-8", "replace") if "shle" in found else ""
+    if not extension and "shlr" in found:
+        first = unpack_records(found["shlr"])[:1]
+        extension = {b"FORM": ".aif", b"caff": ".caf", b"riff": ".w64"}.get(first[0][1][:4], ".wav") if first else ""
+    return {"original_extension": extension or None, "group_id": member[2].hex() if member else None, "channel_index": member[0] if member else None, "channel_count": member[1] if member else None}
+
+
 def header_rows(files: DataFrame, prefix: int = 1 << 20) -> DataFrame:
     """path, flac (struct): metadata of files (path, content) from the first MiB where that is enough."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -509,7 +594,7 @@ def header_rows(files: DataFrame, prefix: int = 1 << 20) -> DataFrame:
                     except FlacError:
                         h = read_header(data)
                     i = h.info
-                    rows.append((p, {"rate": i.rate, "channels": i.channels, "bits": i.bits, "samples": i.total, "md5": i.md5.hex(), "comments": [{"key": k, "value": v} for k, v in h.comments], "original_size": original_size(h), "error": None}))
+                    rows.append((p, {"rate": i.rate, "channels": i.channels, "bits": i.bits, "samples": i.total, "md5": i.md5.hex(), "comments": [{"key": k, "value": v} for k, v in h.comments], "original_size": original_size(h), **_origin(h), "error": None}))
                 except FlacError as e:
                     rows.append((p, dict.fromkeys(f.name for f in _HEADER) | {"error": str(e)}))
             yield pd.DataFrame(rows, columns=["path", "flac"])
@@ -517,13 +602,13 @@ def header_rows(files: DataFrame, prefix: int = 1 << 20) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("flac", _HEADER)]))
 
 
-def _each(kernel, failure: str):
+def _each(kernel, failure: str, given=bytes):
     def run(content: pd.Series) -> pd.DataFrame:
         out = []
         for data in content:
             try:
-                out.append((kernel(bytes(data)), "ok") if data is not None else (None, failure))
-            except (FlacError, zlib.error, struct.error):
+                out.append((kernel(given(data)), "ok") if data is not None else (None, failure))
+            except (FlacError, IndexError, zlib.error, struct.error):
                 out.append((None, failure))
         return pd.DataFrame(out, columns=["content", "status"])
 
@@ -533,10 +618,33 @@ def _each(kernel, failure: str):
 _RESULT = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("status", T.StringType())])
 
 
-def to_flac(content: Column) -> Column:
+def to_flac(content: Column, extension: Column | None = None) -> Column:
     """struct<content, status> of a PCM file's bytes."""
-    return F.pandas_udf(_each(archive_audio, "not_parsable"), _RESULT)(content)
+    def run(content: pd.Series, extension: pd.Series) -> pd.DataFrame:
+        pairs = zip(content, extension, strict=True)
+        return _each(lambda pair: archive_audio(bytes(pair[0]), pair[1] or ""), "not_parsable", lambda pair: pair)(pd.Series([None if c is None else (c, e) for c, e in pairs], dtype=object))
+
+    return F.pandas_udf(run, _RESULT)(content, F.lit("") if extension is None else extension)
 
 
 def from_flac(content: Column) -> Column:
     return F.pandas_udf(_each(restore, "corrupt_archive"), _RESULT)(content)
+
+
+def to_members(content: Column, extension: Column) -> Column:
+    """array<binary>: one stream for each channel of a PCM file's bytes; null if it is none."""
+    def run(content: pd.Series, extension: pd.Series) -> pd.Series:
+        out = []
+        for data, ext in zip(content, extension, strict=True):
+            try:
+                out.append(None if data is None else archive_channels(bytes(data), ext or ""))
+            except FlacError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, T.ArrayType(T.BinaryType()))(content, extension)
+
+
+def from_members(members: Column) -> Column:
+    """struct<content, status> of the file that an array of streams is."""
+    return F.pandas_udf(_each(restore_channels, "corrupt_archive", list), _RESULT)(members)

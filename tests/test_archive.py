@@ -3,6 +3,7 @@ import os
 import struct
 import zipfile
 import zlib
+from collections import Counter
 
 import pytest
 from fixtures import bext, crafted_zip, tone, wav
@@ -121,11 +122,91 @@ def tree(tmp_path):
 def test_walk_is_ordered_and_pruned(tree):
     from shelfmark.functions.globs import compile_patterns
 
-    names = [r[2] for r in FS.walk(str(tree), compile_patterns(["sub/"], ("system",)))]
-    assert names == ["take", "take/link", "take/noise.bin", "take/notes.txt", "take/zero"]
+    rows = list(FS.walk(str(tree), compile_patterns(["sub/"], ("system",))))
+    assert [r[2] for r in rows if not r[8]] == ["take", "take/link", "take/noise.bin", "take/notes.txt", "take/zero"]
+    assert [(r[2], r[3]) for r in rows if r[8]] == [("take/.DS_Store", "file"), ("take/sub", "directory")]  # reported once, not looked into
     assert [r[7] for r in FS.walk("..", [])] == ["a root needs a name"]
 
 
+def test_what_cannot_be_listed_is_a_row(tree, monkeypatch):
+    real = os.listdir
+
+    def listdir(path):
+        if str(path).endswith("sub"):
+            raise PermissionError(13, "Permission denied")
+        return real(path)
+
+    monkeypatch.setattr(os, "listdir", listdir)
+    rows = {r[2]: r for r in FS.walk(str(tree), [])}
+    assert rows["take/sub"][7] == "Permission denied" and "take/zero" in rows and "take/sub/a.wav" not in rows
+
+
+def test_scans_tell_what_they_left_out(spark, tree):
+    got = [(r["archive_path"], r["kind"], r["entry"]) for r in V.scan_excluded(spark, [str(tree)], ["sub/"], ("system",)).orderBy("entry").collect()]
+    assert got == [("take/.DS_Store", "file", 0), ("take/sub", "directory", 1)]
+
+
+def test_many_channels_make_the_round_trip(spark, tmp_path):
+    root = tmp_path / "multi"
+    root.mkdir()
+    data = wav(tone(channels=16, frames=3000), 16, before=bext(), trailing=b"tail")
+    (root / "a.WAV").write_bytes(data)
+    (root / "b.wav").write_bytes(wav(tone(channels=9, frames=10), 16))
+    plan = V.Plan.of(V.scan_folders(spark, [str(root)]))
+    entries = plan.entries.drop("content").collect()
+    assert sum(r["codec"] == "flac_mono" for r in entries) == 25 and plan.executable()
+    assert {r["output_name"] for r in entries if r["channel_index"] == 16} == {"multi/a_ch16.flac"}
+    assert len({r["group_id"] for r in entries if r["group_id"]}) == 2 and [r["entry"] for r in sorted(entries, key=lambda r: r["entry"])] == list(range(len(entries)))
+    path = str(tmp_path / "m.zip")
+    assert plan.build(path) == len(entries)
+    a = V.Archive(spark, path)
+    assert {r["status"] for r in a.verify().collect()} == {"ok"} and a.verify().count() == len(entries)
+    assert a.preview()["restorable"] == 2
+    out = tmp_path / "back"
+    assert {r["status"] for r in a.extract(str(out)).collect()} == {"ok"}
+    assert (out / "multi" / "a.WAV").read_bytes() == data and sorted(os.listdir(out / "multi")) == ["a.WAV", "b.wav"]
+    # without one channel nothing is made of the others, and every member says why
+    cut = str(tmp_path / "cut.zip")
+    V.Editor(a).remove("multi/a_ch03.flac").commit(cut)
+    status = Counter(r["status"] for r in V.Archive(spark, cut).verify().collect())
+    assert status["incomplete_group"] == 15
+    left = V.Archive(spark, cut).extract(str(tmp_path / "cut")).collect()
+    assert Counter(r["status"] for r in left)["incomplete_group"] == 15 and not (tmp_path / "cut" / "multi" / "a.WAV").exists()
+
+
+def test_extraction_obeys_its_decision(spark, tmp_path):
+    path = tmp_path / "a.zip"
+    path.write_bytes(crafted_zip([{"name": b"d/"}, {"name": b"d/old", "data": b"new"}, {"name": b"d/x", "data": b"x"}, {"name": b"f", "data": b"file"}, {"name": b"f/below", "data": b"no"}, {"name": b"README.txt", "data": b"the user's own"}]))
+    a = V.Archive(spark, str(path))
+    for answer, content, status in (("skip", b"old", "skipped"), ("undecided", b"old", "exists"), ("replace", b"new", "ok")):
+        out = tmp_path / answer
+        (out / "d").mkdir(parents=True)
+        (out / "d" / "old").write_bytes(b"old")
+        rows = a.extract(str(out), answer)
+        done = {r["target"]: r["status"] for r in rows.collect()}
+        assert done == {"d": "ok", "d/old": status, "d/x": "ok", "f": "ok", "f/below": "parent_clash", "README.txt": "ok"}
+        assert (out / "d" / "old").read_bytes() == content and (out / "README.txt").read_bytes() == b"the user's own"
+        assert {r["target"]: r["status"] for r in rows.collect()} == done  # asked again, not written again
+    with pytest.raises(ValueError):
+        a.extract(str(tmp_path), "maybe")
+    with pytest.raises(FileExistsError):
+        FS.write_atomic(str(tmp_path / "skip" / "d" / "old"), b"z", replace=False)
+
+
+def test_modes_and_times_come_back(spark, tmp_path):
+    root = tmp_path / "src"
+    (root / "sub").mkdir(parents=True)
+    (root / "sub" / "run").write_bytes(b"#!")
+    os.chmod(root / "sub" / "run", 0o750)
+    for p in (root / "sub" / "run", root / "sub", root):
+        os.utime(p, (1_600_000_000, 1_600_000_000))
+    path = str(tmp_path / "t.zip")
+    V.Plan.of(V.scan_folders(spark, [str(root)])).build(path)
+    V.Archive(spark, path).extract(str(tmp_path / "out")).collect()
+    made = tmp_path / "out" / "src" / "sub"
+    assert (made / "run").stat().st_mode & 0o777 == 0o750 and int((made / "run").stat().st_mtime) == int(made.stat().st_mtime) == 1_600_000_000
+
+
 def test_round_trip_of_a_folder(spark, tree, tmp_path):
     items = V.scan_folders(spark, [str(tree)], presets=("system",))
     plan = V.Plan.of(items)
@@ -165,7 +246,7 @@ def test_hostile_archives_stay_inside(spark, tmp_path):
     p = a.extraction_plan(there)
     assert {(r["target"], r["kind"]) for r in p["issues"].collect()} == {("../up", "unsafe_path"), ("/abs", "unsafe_path"), ("Same", "collision"), ("same", "collision"), ("ok.txt", "exists")}
     done = {r["target"]: r["status"] for r in a.extract(str(tmp_path / "x")).collect()}
-    assert done == {"ok.txt": "ok"} and not (tmp_path / "up").exists()
+    assert done == {"ok.txt": "ok", "../up": "unsafe_path", "/abs": "unsafe_path", "Same": "collision", "same": "collision", "sum": "crc_mismatch"} and not (tmp_path / "up").exists()
     assert {r["entry"]: r["status"] for r in a.verify().collect()}[5] == "crc_mismatch"
 
 

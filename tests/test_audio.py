@@ -121,3 +121,40 @@ def test_any_bytes_are_refused_without_failing(data, head):
         flac.read_header(head + data)
     except flac.FlacError:
         pass
+
+
+def test_checksums_of_any_length_equal_the_plain_loop():
+    data = bytes(range(256)) * 5 + b"odd"
+    for n in (0, 1, 2, 255, 256, 257, 700, len(data)):
+        c = 0
+        for b in data[:n]:
+            c = (c << 8 & 0xFFFF) ^ flac._CRC16[c >> 8 ^ b]
+        assert flac.crc16(data[:n]) == c
+
+
+def test_a_stream_holds_eight_channels():
+    with pytest.raises(flac.FlacError):
+        flac.archive_audio(wav(tone(channels=9, frames=10), 16))
+    data = wav(tone(channels=8, frames=10), 16)
+    assert flac.restore(flac.archive_audio(data, ".wav")) == data
+
+
+def test_channels_of_a_file_restore_it_in_any_order():
+    data = wav(tone(channels=11, frames=5000), 24, trailing=b"end")
+    members = flac.archive_channels(data, ".wav")
+    assert len(members) == 11 and flac.restore_channels(members[::-1]) == data
+    assert flac.original_size(flac.read_header(members[0])) == len(data) and flac.original_size(flac.read_header(members[1])) is None
+    other = flac.archive_channels(wav(tone(channels=11, frames=5000, seed=2), 24), ".wav")
+    for bad in (members[:-1], [*members[:-1], members[0]], [*members[:-1], other[-1]], [flac.archive_audio(data := wav(tone(), 16))]):
+        with pytest.raises(flac.FlacError):
+            flac.restore_channels(bad)
+    with pytest.raises(flac.FlacError):
+        flac.restore(members[0])
+
+
+def test_largest_frame_need_not_be_stated():
+    x = tone(frames=9000)
+    data = flac.encode(x, 48000, 16)
+    at = data.index(b"fLaC") + 8
+    blind = data[: at + 4] + bytes(6) + data[at + 10 :]
+    assert (flac.decode(blind)[1] == flac.decode(data)[1]).all()
