@@ -289,10 +289,9 @@ def _verified(groups: DataFrame, prints: DataFrame, words: int, similarity: floa
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / SHINGLES)).cast("long").alias("blocks"))
     cell = (F.least("k", "j") * F.col("blocks") + F.greatest("k", "j")).alias("cell")
-    # written, so that Spark knows how small it is before it deals out any text
-    dealt = materialize(groups.join(sizes, "root").withColumn("k", F.expr("pmod(xxhash64(node), blocks)")), release=False)
+    dealt = groups.join(sizes, "root").withColumn("k", F.expr("pmod(xxhash64(node), blocks)"))
     # one row stands for its node: its number is nobody else's, so no key of this join has many rows
-    dealt = prints.select("row", "text").join(dealt, "row").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", cell, "blocks", "node", "text")
+    dealt = prints.select("row", "text").join(dealt.hint("merge"), "row").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", cell, "blocks", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, part, now, nodes, sets = Stars(), Stars(), None, [], []
@@ -349,5 +348,5 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     rank = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64("text").alias("text"), "row")
     # a node's first row, and of these a root's: both are combined before they are dealt out
     first = prints.groupBy("node").agg(F.min(rank).alias("rank")).join(groups.select("node", "root"), "node").groupBy("root").agg(F.min("rank").alias("rank"))
-    kept = prints.join(materialize(first.select(F.col("rank.row").alias("row"))), "row", "left_semi")
+    kept = prints.join(first.select(F.col("rank.row").alias("row")).hint("merge"), "row", "left_semi")
     return kept.select("text", "rest.*").select(*[F.col(f"`{c}`") for c in docs.columns])
