@@ -7,9 +7,10 @@
 2. References. Owned windows, run together to passages, are the references; they are as large as the repeated
    part of the corpus taken once, and are dealt into shards by owner, as many as keep each within SHARD bytes of text.
 3. Automata. Each shard's references become one suffix automaton of words whose states know the smallest
-   document they occur in. Every document that has a window of a shard streams through its automaton from first word
-   to last; matching statistics of WINDOW words or more in a smaller document mark the words to remove. A shard
-   that many documents stream against goes to as many tasks as it needs.
+   document they occur in. Of every document the runs of windows that have an owner in a shard stream through its
+   automaton; matching statistics of WINDOW words or more in a smaller document mark the words to remove. A shard that
+   many documents stream against goes to as many tasks as it needs. (Whole documents instead, once for each shard they
+   touch, find the same and need more disk than there is: see README.)
 4. The automaton compares words, so equal hashes of different windows remove nothing. Windows that were led to a shard
    by such a hash and found nothing there are held against each other as words, so that they lose nothing either.
 5. The marked words are cut from the texts.
@@ -217,7 +218,7 @@ def _by_doc(docs: np.ndarray, *columns: np.ndarray) -> dict[int, tuple[np.ndarra
 
 
 def _passages(window: int, shards: int):
-    """Documents with windows that have an owner (role 1, whole, with those windows' runs, for each shard of an owner) and runs of windows that others hold (role 0)."""
+    """Runs of windows that have an owner (role 1, by the owner's shard) and of windows that others hold (role 0)."""
     runs = pa.list_(pa.int64())
     fields = (("shard", pa.int32()), ("role", pa.int32()), ("doc", pa.int64()), ("row", pa.int64()), ("firsts", runs), ("ends", runs), ("n_words", pa.int64()), ("words", pa.binary()))
 
@@ -251,13 +252,9 @@ def _passages(window: int, shards: int):
                 for a, b in zip(edge.tolist(), np.append(edge[1:], len(shard)).tolist(), strict=True):
                     if shard[a] >= 0:
                         parts.setdefault(int(shard[a]), []).append((a, b + window - 1))
-                whole = b" ".join(words) if role else b""
                 for k, spans in parts.items():
                     firsts, ends = [a for a, _ in spans], [b for _, b in spans]
-                    if role:
-                        out.append((k, 1, doc, row, firsts, ends, len(words), whole))
-                    else:
-                        out.append((k, 0, doc, row, firsts, ends, sum(ends) - sum(firsts), b"\n".join(b" ".join(words[a:b]) for a, b in spans)))
+                    out.append((k, role, doc, row, firsts, ends, sum(ends) - sum(firsts), b"\n".join(b" ".join(words[a:b]) for a, b in spans)))
         cols = list(zip(*out, strict=True)) if out else [[]] * len(fields)
         return pa.table({name: pa.array(c, t) for (name, t), c in zip(fields, cols, strict=True)})
 
@@ -359,15 +356,15 @@ def _stream(window: int):
         for role, doc, row, firsts, ends, text in rows:
             if role == 0:
                 continue
-            words = text.split(b" ")
-            starts = np.array(automaton.covered(doc, words, window), np.int64) - (window - 1)
+            passages = [p.split(b" ") for p in text.split(b"\n")]
+            starts = np.concatenate([np.array(automaton.covered(doc, p, window), np.int64) + (first - window + 1) for first, p in zip(firsts, passages, strict=True)])
             edge = np.flatnonzero(np.diff(starts, prepend=-window - 1) > window) if len(starts) else starts
             a = starts[edge]
             b = starts[np.append(edge[1:] - 1, len(starts) - 1)] + window if len(starts) else starts
-            led = np.concatenate([np.arange(x, y - window + 1) for x, y in zip(firsts, ends, strict=True)])
-            lost = np.setdiff1d(led, starts, assume_unique=True)
-            if len(a) or len(lost):
-                found.append((doc, row, a, b, [{"first": x, "words": b" ".join(words[x : x + window])} for x in lost.tolist()]))
+            there = set(starts.tolist())
+            lost = [{"first": x, "words": b" ".join(p[x - first : x - first + window])} for first, end, p in zip(firsts, ends, passages, strict=True) for x in range(first, end - window + 1) if x not in there]
+            if len(a) or lost:
+                found.append((doc, row, a, b, lost))
         cols = list(zip(*found, strict=True)) if found else [[]] * 5
         types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.struct([("first", pa.int64()), ("words", pa.binary())])))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc", "row", "firsts", "ends", "lost"), cols, types, strict=True)})
