@@ -202,7 +202,7 @@ def fingerprint_links(fingerprints: DataFrame, bits: int, posted: int) -> DataFr
     # a small table has few files, and each row of it becomes many
     listed = fingerprints.select("fp0").repartition(parts, "fp0").withColumn("c", F.explode(choice)).select(key.alias("key"), "fp0")
     shared = materialize(listed.groupBy("key").count().where("count > 1"))
-    met = listed.join(shared, "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("long")).withColumn("k", F.expr("pmod(xxhash64(fp0), n)"))
+    met = listed.join(shared.hint("merge"), "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("long")).withColumn("k", F.expr("pmod(xxhash64(fp0), n)"))
     cell = (F.least("k", "j") * F.col("n") + F.greatest("k", "j")).alias("cell")
     dealt = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", cell, "fp0")
     return dealt.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_link_runs(0, bits, least), "a long, b long")
@@ -217,7 +217,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4, posted: int =
     roots = connected_components(fingerprint_links(classes, bits, min(posted, 8 - bits)))
     named = classes.join(roots, classes.fp0 == roots.node, "left").select("fp0", "doc_id", F.coalesce("root", "fp0").alias("root"))
     found = smallest(named).select("fp0", "component_id")
-    return prints.join(found, "fp0").select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(found.hint("merge"), "fp0").select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
