@@ -179,9 +179,9 @@ def channel_explode(spark: SparkSession, d: str) -> DataFrame:
     return L.explode_channels(p).select("entry", "output_name", "channel_index", "channel_count")
 
 
-@query(f"{C}, p as (select string_split(regexp_extract(name, '^(.*)/[^/]*$', 1), '/') as a from c where kind = 'file' and entry % 20 = 3), e as (select min(a) as lo, max(a) as hi from p), n as (select lo, hi, (select count(*) from range(1, least(len(lo), len(hi)) + 1) t(k) where list_slice(lo, 1, k) = list_slice(hi, 1, k)) as k from e) select case when k = 0 then '' else array_to_string(list_slice(lo, 1, k), '/') end as folder from n")
+@query(f"{C}, p as (select string_split(regexp_extract(name, '^(.*)/[^/]*$', 1), '/') as a from c where kind = 'file'), e as (select min(a) as lo, max(a) as hi from p), n as (select lo, hi, (select count(*) from range(1, least(len(lo), len(hi)) + 1) t(k) where list_slice(lo, 1, k) = list_slice(hi, 1, k)) as k from e) select case when k = 0 then '' else array_to_string(list_slice(lo, 1, k), '/') end as folder from n")
 def common_folder(spark: SparkSession, d: str) -> DataFrame:
-    return B.common_folder(A.catalog(spark, d).where((F.col("kind") == "file") & (F.col("entry") % 20 == 3)))
+    return B.common_folder(A.catalog(spark, d).where(F.col("kind") == "file"))
 
 
 @query(f"""{G}, r as (select entry, case when entry % 4 = 1 then 'crc_mismatch' when entry % 6 = 0 then 'too_short' else 'ok' end as status from g), m as (select group_id as entry, r.status from g join r using (entry))

@@ -73,12 +73,12 @@ def throughput(spark: SparkSession, d: str) -> DataFrame:
     return e.select("entry", D.throughput(F.col("done"), F.col("total"), F.col("value"))[1].alias("remaining"))
 
 
-@query("""with g as (select p_size, list('in/' || p_brand || '/' || p_name order by p_partkey) as n from part where p_partkey % 40 = 3 group by p_size)
-select p_size, case when len(n) = 1 then string_split(n[1], '/')[3] when len(list_distinct(list_transform(n, lambda x: string_split(x, '/')[2]))) = 1 then string_split(n[1], '/')[2] else 'Archive' end || '.zip' as name from g""")
+@query("""with g as (select p_size, p_type, list('in/' || p_brand || '/' || p_name order by p_partkey) as n from part group by p_size, p_type)
+select p_size, p_type, case when len(n) = 1 then string_split(n[1], '/')[3] when len(list_distinct(list_transform(n, lambda x: string_split(x, '/')[2]))) = 1 then string_split(n[1], '/')[2] else 'Archive' end || '.zip' as name from g""")
 def output_name(spark: SparkSession, d: str) -> DataFrame:
-    p = A.table(spark, d, "part").where(F.col("p_partkey") % 40 == 3)
+    p = A.table(spark, d, "part")
     names = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.concat(F.lit("in/"), "p_brand", F.lit("/"), "p_name").alias("n")))), lambda x: x["n"])
-    return p.groupBy("p_size").agg(names.alias("n")).select("p_size", P.archive_output_name(F.col("n")).alias("name"))
+    return p.groupBy("p_size", "p_type").agg(names.alias("n")).select("p_size", "p_type", P.archive_output_name(F.col("n")).alias("name"))
 
 
 @query("select case when count(distinct source) = 1 then min(source) end as folder from documents")
