@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,31 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, release: bool = True) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor costs nothing but a new read. release: wait for the shuffle files behind it to go."""
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of each query in this block as the query ends: the disk holds those of one step, not of all. The session's own setting comes back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor costs nothing but a new read. The shuffle files behind it go once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_end(spark):
+        df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shelfmark_path = path
-    if release:
-        free(spark)
     return out
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that no DataFrame needs any more, once the last query's events are delivered.
-
-    The cleaner works on collected references, by default every half hour: without this the disk holds the shuffles
-    of all steps of an operator at once instead of the largest.
-    """
-    gc.collect()
-    for pause in (0.3, 0.2):  # what one collection frees, the next finds unreferenced
-        time.sleep(pause)
-        spark.sparkContext._jvm.System.gc()
-
-
 def drop(df: DataFrame) -> None:
     """Deletes a table of materialize() that nothing reads any more."""
     path = getattr(df, "_shelfmark_path", None)
@@ -102,7 +101,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         """Writes edges, by fewer tasks if they are few, and tells their number and a mark of them as they pass."""
         seen = Observation()
         df = df if tasks is None else df.coalesce(tasks)
-        out = materialize(df.observe(seen, F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)").alias("x")), release=False)
+        out = materialize(df.observe(seen, F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)").alias("x")))
         return out, (seen.get["n"], seen.get["x"])
 
     links = edges.where("a is not null and b is not null and a <> b")
