@@ -156,3 +156,8 @@ def archive_output_name(names: Column) -> Column:
     one = F.regexp_extract(names[0], r"([^/]*)/?$", 1)
     many = F.when((F.size(parents) == 1) & (parents[0] != ""), parents[0]).otherwise(F.lit("Archive"))
     return F.concat(F.when(F.size(names) == 1, one).otherwise(many), F.lit(".zip"))
+
+
+def valid_utf8(raw: Column) -> Column:
+    """Whether bytes are UTF-8: the shortest forms only, no surrogates, nothing beyond U+10FFFF."""
+    return F.is_valid_utf8(raw.cast("string"))

@@ -92,6 +92,12 @@ def filter_tree(entries: DataFrame, leaf: Column) -> DataFrame:
     return hits.select(F.col("name"), F.lit(True).alias("matches")).unionByName(above.select("name", F.lit(False).alias("matches")))
 
 
+def member_filter(members: DataFrame, groups: DataFrame, leaf: Column, key: str = "group_id") -> DataFrame:
+    """Channels a browser keeps: those that match, and those whose group's own row (groups: key and the columns of leaf) does."""
+    matching = groups.where(leaf).select(key, F.lit(True).alias("_group")).distinct()
+    return members.join(matching, key, "left").where(F.coalesce(leaf, F.lit(False)) | F.coalesce("_group", F.lit(False))).drop("_group")
+
+
 def text_filter(text: str) -> Column:
     low = F.lit(text.lower())
     return F.contains(F.lower("name"), low) | F.coalesce(F.contains(F.lower("restores_to"), low), F.lit(False))
@@ -140,9 +146,32 @@ def common_folder(entries: DataFrame) -> DataFrame:
     return ends.select(F.when(n > 0, F.array_join(F.slice("a", 1, F.greatest(n, F.lit(1))), "/")).otherwise("").alias("folder"))
 
 
-def drop_rule(names: DataFrame) -> DataFrame:
-    """action for dropped files: extract if all are zip archives, else compress."""
-    return names.agg(F.when(F.coalesce(F.bool_and(F.lower("name").endswith(".zip")), F.lit(False)), "extract").otherwise("compress").alias("action"))
+def drop_rule(names: DataFrame, intent: str = "auto") -> DataFrame:
+    """action for dropped files: extract if all are zip archives, else compress; a user who says compress or extract gets that, if any archive is there to extract. Nothing dropped: none."""
+    zipped = F.lower("name").endswith(".zip")
+    rules = {
+        "auto": F.when(F.bool_and(zipped), "extract").otherwise("compress"),
+        "compress": F.lit("compress"),
+        "extract": F.when(F.bool_or(zipped), "extract").otherwise("none"),
+    }
+    if intent not in rules:
+        raise ValueError(f"not an intent: {intent}")
+    return names.agg(F.when(F.count("*") == 0, "none").otherwise(rules[intent]).alias("action"))
+
+
+def drop_items(names: DataFrame, action: str) -> DataFrame:
+    """The dropped names an action takes: all to compress, the zip archives to extract, none for none."""
+    return names.where({"compress": F.lit(True), "extract": F.lower("name").endswith(".zip"), "none": F.lit(False)}[action])
+
+
+def listing_line(size: Column, packed: Column, method: Column, modified: Column, name: Column, restores_to: Column) -> Column:
+    """A line of a listing, in fixed columns."""
+    return F.format_string("%12d %12d %-10s %-16s %s%s", size, packed, method, modified, name, F.coalesce(F.concat(F.lit("  -> "), restores_to), F.lit("")))
+
+
+def listing_totals(entries: DataFrame) -> DataFrame:
+    """line: what stands below a listing."""
+    return cli_totals(entries).select(F.concat(F.col("entries").cast("string"), F.lit(" entries, "), D.human_size(F.col("size")), F.lit(" -> "), D.human_size(F.col("packed"))).alias("line"))
 
 
 def unique_path(wanted: DataFrame, taken: DataFrame) -> DataFrame:
@@ -169,3 +198,9 @@ def tags_last(tags: DataFrame) -> DataFrame:
     """file, key, value of the tags (file, pos, key, value): keys in upper case, the last of a key wins; track names are left out."""
     key = F.upper("key")
     return tags.where(~key.startswith("TRACK_NAME")).groupBy("file", key.alias("key")).agg(F.max_by("value", "pos").alias("value"))
+
+
+def tags_tracks(tags: DataFrame) -> DataFrame:
+    """file, pos, track, value: the track names among the tags, all of them; track is what follows the key's word, empty where nothing does."""
+    key = F.upper("key")
+    return tags.where(key.startswith("TRACK_NAME")).select("file", "pos", F.substring(key, len("TRACK_NAME_") + 1, 1 << 20).alias("track"), "value")

@@ -306,8 +306,12 @@ class Archive:
         return f"<!DOCTYPE html><meta charset=utf-8><title>{html.escape(self.path)}</title><p>{p['files']} files, {p['size']} bytes, {p['packed']} packed, {p['restorable']} restorable</p><table>{body}</table>{more}"
 
     def listing(self) -> DataFrame:
-        """entry, line: fixed columns."""
-        return self.rows().select("entry", F.format_string("%12d %12d  %s", "size", "packed", "name").alias("line"))
+        """entry, line: size, packed size, method, time and name in fixed columns, with what a restorable entry becomes."""
+        method = D.cli_method(F.col("raw_method"), F.coalesce("restorable", F.lit(False)), F.coalesce("channel_count", F.lit(1)))
+        return self.entries().select("entry", B.listing_line(F.col("size"), F.col("packed"), method, D.minute_text(F.col("mtime")), F.col("name"), F.col("restores_to")).alias("line"))
+
+    def listing_totals(self) -> str:
+        return B.listing_totals(self.rows().where("error is null")).first()["line"]
 
 
 class Editor:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def folded(*made: Query) -> None:
+    """Registers queries once more by the key for all scripts (normal form and full case folding). The tables' names are ASCII, for which both keys are one: the SQL is the same."""
+    for f in made:
+        QUERIES[f"{f.__name__}_folded"] = partial(f, ascii_key=False)
+        SQL[f"{f.__name__}_folded"] = SQL[f.__name__]
+
+
 def queries() -> dict[str, Query]:
     _load()
     return QUERIES

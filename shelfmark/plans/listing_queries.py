@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +94,12 @@ def browser_method_filter_with_ancestors(spark: SparkSession, d: str) -> DataFra
     return B.filter_tree(A.catalog(spark, d), (F.col("kind") == "file") & F.col("restorable") & ~F.col("deleted"))
 
 
+@query(f"with g as ({A.groups_sql()}) select entry, group_id from g where size > 200 or group_id in (select group_id from g group by group_id having coalesce(max(original_size), sum(size)) > 200)")
+def browser_members_of_matching_groups(spark: SparkSession, d: str) -> DataFrame:
+    members = A.groups(spark, d)
+    return B.member_filter(members, B.group_rows(members), F.col("size") > 200).select("entry", "group_id")
+
+
 @query(f"{C}, hits as (select name from c where kind = 'file' and (contains(lower(name), 'fr/1') or coalesce(contains(lower(restores_to), 'fr/1'), false))), up as (select distinct unnest({PREFIXES}) as name from hits) select name, true as matches from hits union all select name, false from up")
 def browser_text_filter(spark: SparkSession, d: str) -> DataFrame:
     return B.filter_tree(A.catalog(spark, d), (F.col("kind") == "file") & B.text_filter("FR/1"))
@@ -204,6 +212,27 @@ def error_count(spark: SparkSession, d: str) -> DataFrame:
     return X.count_errors(A.catalog(spark, d).select((F.col("method") == 12).alias("is_error")))
 
 
+_DROPS = "select p_partkey % 3 as intent, p_name || case when p_partkey % 3 = 2 and p_partkey % 2 = 0 then '.ZIP' else '' end as name from part"
+
+
+def _drops(spark: SparkSession, d: str, intent: int) -> DataFrame:
+    k = F.col("p_partkey")
+    n = A.table(spark, d, "part").select((k % 3).alias("intent"), F.concat("p_name", F.when((k % 3 == 2) & (k % 2 == 0), ".ZIP").otherwise("")).alias("name"))
+    return n.where(F.col("intent") == intent).select("name")
+
+
+@query(f"with n as ({_DROPS}) select 'auto' as intent, case when bool_and(lower(name) like '%.zip') then 'extract' else 'compress' end as action from n where intent = 0 union all select 'compress', 'compress' union all select 'extract', case when bool_or(lower(name) like '%.zip') then 'extract' else 'none' end from n where intent = 2 union all select 'nothing', 'none'")
+def drop_intents(spark: SparkSession, d: str) -> DataFrame:
+    """Parts dropped with each intent, and nothing dropped at all."""
+    said = {"auto": B.drop_rule(_drops(spark, d, 0)), "compress": B.drop_rule(_drops(spark, d, 1), "compress"), "extract": B.drop_rule(_drops(spark, d, 2), "extract"), "nothing": B.drop_rule(_drops(spark, d, 0).where("false"))}
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("intent"), "action") for name, rows in said.items()])
+
+
+@query(f"with n as ({_DROPS}) select name from n where intent = 2 and lower(name) like '%.zip'")
+def drop_items(spark: SparkSession, d: str) -> DataFrame:
+    return B.drop_items(_drops(spark, d, 2), "extract")
+
+
 @query("select case when bool_and(lower(p_name) like '%.zip') then 'extract' else 'compress' end as action from part")
 def drop_rule(spark: SparkSession, d: str) -> DataFrame:
     return B.drop_rule(A.table(spark, d, "part").select(F.col("p_name").alias("name")))

@@ -103,10 +103,11 @@ def template(spark: SparkSession, d: str) -> DataFrame:
     return c.select("entry", F.replace(D.render(F.lit("Made by {app}\nfor {name}"), {"app": F.lit("x"), "name": F.col("name")}), F.lit("\r\n"), F.lit("\n")).alias("text"))
 
 
-@query("""with t as (select p_partkey as entry, p_partkey % 21 as w, p_name from part) select entry, lpad(cast(entry as varchar), 12, ' ') || ' ' || lpad(cast(w as varchar), 12, ' ') || '  ' || p_name as line from t""")
+@query("""select p_partkey as entry, format('{:>12} {:>12} {:<10} {:<16} {}{}', p_partkey, p_partkey % 21, case when p_partkey % 5 = 0 then 'flac' else 'deflate' end, '2024-05-06 07:08', p_name, case when p_partkey % 5 = 0 then '  -> ' || p_name || '.wav' else '' end) as line from part""")
 def text_listing(spark: SparkSession, d: str) -> DataFrame:
-    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("entry"), (F.col("p_partkey") % 21).alias("w"), "p_name")
-    return p.select("entry", F.format_string("%12d %12d  %s", "entry", "w", "p_name").alias("line"))
+    k, audio = F.col("p_partkey"), F.col("p_partkey") % 5 == 0
+    line = B.listing_line(k, k % 21, F.when(audio, "flac").otherwise("deflate"), F.lit("2024-05-06 07:08"), F.col("p_name"), F.when(audio, F.concat("p_name", F.lit(".wav"))))
+    return A.table(spark, d, "part").select(k.alias("entry"), line.alias("line"))
 
 
 @query("with c as (select doc_id as entry, source || '/' || lang as name from documents) select string_split(name, '/')[1] as top, count(*) as n from c where contains(lower(name), 'en') group by 1")

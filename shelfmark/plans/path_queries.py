@@ -9,7 +9,7 @@ from shelfmark.functions import display as D
 from shelfmark.functions import globs as G
 from shelfmark.functions import paths as P
 from shelfmark.operators import exclude as E
-from shelfmark.plans.catalogue import query
+from shelfmark.plans.catalogue import folded, query
 from shelfmark.sources import adapters as A
 
 H = f"with h as ({A.HOSTILE})"
@@ -177,16 +177,30 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"{_CUTS} select i.entry, i.archive_path from i left join h using (entry) where h.k is null")
-def exclude_kept(spark: SparkSession, d: str) -> DataFrame:
-    return E.kept(_items(spark, d), G.compile_patterns(_PATTERNS), ascii_only=True).select("entry", "archive_path")
+def exclude_kept(spark: SparkSession, d: str, ascii_key: bool = True) -> DataFrame:
+    return E.kept(_items(spark, d), G.compile_patterns(_PATTERNS), ascii_only=ascii_key).select("entry", "archive_path")
 
 
 @query(f"""{_CUTS}, t as (select p.entry, p.source_path, array_to_string(list_slice(parts, 1, h.k), '/') as archive_path, h.k = len(parts) as own from p join h using (entry))
 select archive_path, min(entry) as entry, coalesce(max(source_path) filter (own), '') as source_path, case when bool_or(own) then 'file' else 'directory' end as kind from t group by archive_path""")
-def exclude_topmost(spark: SparkSession, d: str) -> DataFrame:
-    return E.excluded(_items(spark, d), G.compile_patterns(_PATTERNS), ascii_only=True)
+def exclude_topmost(spark: SparkSession, d: str, ascii_key: bool = True) -> DataFrame:
+    return E.excluded(_items(spark, d), G.compile_patterns(_PATTERNS), ascii_only=ascii_key)
 
 
 @query(f"with i as ({_ITEMS}) select entry, 'backup/2024/' || archive_path as archive_path from i")
 def prefix_paths(spark: SparkSession, d: str) -> DataFrame:
     return E.under_folder(_items(spark, d), "backup/2024/").select("entry", "archive_path")
+
+
+# Bytes and whether they are UTF-8 (plain, two and four bytes; cut short, overlong, a surrogate, beyond the last code point, a lone continuation).
+_BYTES = (("6162", True), ("C3A9", True), ("F09F8EB5", True), ("C3", False), ("C080", False), ("EDA080", False), ("F4908080", False), ("80", False))
+
+
+@query(f"""select p_partkey as entry, list_extract([{", ".join(str(ok).lower() for _, ok in _BYTES)}], cast(p_partkey % {len(_BYTES)} as integer) + 1) as valid from part""")
+def utf8_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts with bytes behind them that are UTF-8 or not."""
+    raw = F.element_at(F.array(*[F.unhex(F.lit(h)) for h, _ in _BYTES]), (F.col("p_partkey") % len(_BYTES) + 1).cast("int"))
+    return A.table(spark, d, "part").select(F.col("p_partkey").alias("entry"), P.valid_utf8(F.concat(F.col("p_name").cast("binary"), raw)).alias("valid"))
+
+
+folded(exclude_kept, exclude_topmost)

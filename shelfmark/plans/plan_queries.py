@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import extraction as X
 from shelfmark.operators import planning as L
-from shelfmark.plans.catalogue import query
+from shelfmark.plans.catalogue import folded, query
 from shelfmark.plans.listing_queries import PREFIXES, C
 from shelfmark.sources import adapters as A
 
@@ -55,15 +55,15 @@ _CLAIMS = f"""{P}, o as (select distinct lower(rtrim(n, '/')) as collision_key,
 
 
 @query(f"{_CLAIMS} select collision_key, array_to_string(list(entry order by entry), ',') as entries from o group by collision_key having count(distinct entry) > 1")
-def collision_groups(spark: SparkSession, d: str) -> DataFrame:
-    found = L.collisions(A.parts_plan(spark, d), ascii_key=True)
+def collision_groups(spark: SparkSession, d: str, ascii_key: bool = True) -> DataFrame:
+    found = L.collisions(A.parts_plan(spark, d), ascii_key=ascii_key)
     return found.select("collision_key", F.array_join(F.col("entries").cast("array<string>"), ",").alias("entries"))
 
 
 @query(f"{_CLAIMS} select o.entry, o.collision_key, o.is_file from o join p using (entry) where p.codec = 'flac'")
-def dual_key_owners(spark: SparkSession, d: str) -> DataFrame:
+def dual_key_owners(spark: SparkSession, d: str, ascii_key: bool = True) -> DataFrame:
     plan = A.parts_plan(spark, d).where("codec = 'flac'")
-    return L.owners(plan, F.lit(1)).select("entry", "collision_key", "is_file")
+    return L.owners(plan, F.lit(1) if ascii_key else None).select("entry", "collision_key", "is_file")
 
 
 _CLASH = f"""a as (select entry, collision_key as name from o), e as (select entry, unnest({PREFIXES}) as collision_key from a),
@@ -72,28 +72,28 @@ m as (select collision_key, unnest([entry, file]) as entry from h)"""
 
 
 @query(f"{_CLAIMS}, {_CLASH} select collision_key, array_to_string(list(distinct entry order by entry), ',') as entries from m group by collision_key")
-def parent_clash(spark: SparkSession, d: str) -> DataFrame:
-    found = L.parent_clashes(A.parts_plan(spark, d), ascii_key=True)
+def parent_clash(spark: SparkSession, d: str, ascii_key: bool = True) -> DataFrame:
+    found = L.parent_clashes(A.parts_plan(spark, d), ascii_key=ascii_key)
     return found.select("collision_key", F.array_join(F.col("entries").cast("array<string>"), ",").alias("entries"))
 
 
 @query(f"""{_CLAIMS}, {_CLASH}, r as (select 'collision' as kind, collision_key, list(entry order by entry) as entries from o group by collision_key having count(distinct entry) > 1
 union all select 'parent_clash', collision_key, list(distinct entry order by entry) from m group by collision_key) select kind, collision_key, len(entries) as n, entries[1] as first_entry from r""")
-def all_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return L.conflicts(A.parts_plan(spark, d), ascii_key=True).select("kind", "collision_key", F.size("entries").cast("long").alias("n"), "first_entry")
+def all_conflicts(spark: SparkSession, d: str, ascii_key: bool = True) -> DataFrame:
+    return L.conflicts(A.parts_plan(spark, d), ascii_key=ascii_key).select("kind", "collision_key", F.size("entries").cast("long").alias("n"), "first_entry")
 
 
 @query(f"{C}, k as (select entry, kind, lower(rtrim(regexp_extract(name, '[^/]*/([^/]*)/?$', 1), '/')) as k from c), n as (select k, count(*) as n, bool_and(kind = 'directory') as dirs, min(entry) as first from k group by k) select entry, n.n > 1 and not dirs as refused, n.n > 1 and dirs and entry <> first as merged from k join n using (k)")
-def extraction_collisions(spark: SparkSession, d: str) -> DataFrame:
+def extraction_collisions(spark: SparkSession, d: str, ascii_key: bool = True) -> DataFrame:
     """Entries put into one folder per language: most collide, and the sources' folders merge."""
     target = F.regexp_extract("name", r"[^/]*/([^/]*)/?$", 1)
-    return X.refuse_collisions(A.catalog(spark, d).select("entry", "kind", target.alias("target")), ascii_key=True).select("entry", "refused", "merged")
+    return X.refuse_collisions(A.catalog(spark, d).select("entry", "kind", target.alias("target")), ascii_key=ascii_key).select("entry", "refused", "merged")
 
 
 @query(f"{_CLAIMS}, t as (select entry, output_name as name, kind from p), e as (select entry, unnest({PREFIXES}) as prefix from (select entry, lower(name) as name from t)), f as (select distinct lower(name) as prefix from t where kind <> 'directory') select entry, min_by(prefix, length(prefix)) as clash from e join f using (prefix) group by entry")
-def extraction_parent_clash(spark: SparkSession, d: str) -> DataFrame:
+def extraction_parent_clash(spark: SparkSession, d: str, ascii_key: bool = True) -> DataFrame:
     items = A.parts_plan(spark, d).select("entry", "kind", F.col("output_name").alias("target"), F.lit(False).alias("refused"), F.lit(False).alias("merged"))
-    return X.refuse_below_files(items, ascii_key=True)
+    return X.refuse_below_files(items, ascii_key=ascii_key)
 
 
 @query(f"{C} select entry, name from c where entry in (select doc_id from labels where quality = 0)")
@@ -207,11 +207,14 @@ def reindex(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{C}, a as (select distinct on (name) max(doc_id) over (partition by source) as e, source || '/' as name, 'directory' as kind from documents where doc_id % 2 = 0), n as (select 'new/' as name), j as (select entry, name from c)
 select count(*) as entries, count(*) filter (name = 'new/') as folders, cast(max(entry) as bigint) as last from (select row_number() over (order by entry) - 1 as entry, name from (select entry, name from j union all select 9000000000, 'new/' union all select 9000000001 + doc_id, 'new/' || cast(doc_id as varchar) from documents where doc_id % 10 = 0))""")
-def dirs_merge(spark: SparkSession, d: str) -> DataFrame:
+def dirs_merge(spark: SparkSession, d: str, ascii_key: bool = True) -> DataFrame:
     base = A.catalog(spark, d).select("entry", F.col("name").alias("output_name"), "kind")
     docs = A.table(spark, d, "documents")
     again = docs.groupBy("source").agg(F.max("doc_id").alias("entry")).select("entry", F.concat("source", F.lit("/")).alias("output_name"), F.lit("directory").alias("kind"))
     new = docs.where(F.col("doc_id") % 10 == 0).select((F.col("doc_id") + 1_000_000).alias("entry"), F.concat(F.lit("new/"), F.col("doc_id").cast("string")).alias("output_name"), F.lit("file").alias("kind"))
     folder = docs.limit(1).select(F.lit(999_999).cast("long").alias("entry"), F.lit("new/").alias("output_name"), F.lit("directory").alias("kind"))
-    merged = L.merge_added(base, again.unionByName(new).unionByName(folder), ascii_key=True)
+    merged = L.merge_added(base, again.unionByName(new).unionByName(folder), ascii_key=ascii_key)
     return merged.agg(F.count("*").alias("entries"), F.count_if(F.col("output_name") == "new/").alias("folders"), F.max("entry").alias("last"))
+
+
+folded(collision_groups, dual_key_owners, parent_clash, all_conflicts, extraction_collisions, extraction_parent_clash, dirs_merge)

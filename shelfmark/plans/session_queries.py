@@ -104,7 +104,16 @@ def session_replay(spark: SparkSession, d: str) -> DataFrame:
 @query("""with t as (select user_id as file, event_id as pos, case event_type when 'view' then 'Title' when 'click' then 'artist' when 'error' then 'TRACK_NAME_1' when 'signup' then 'TITLE' else 'Comment' end as key, props::json->>'$.k' as value from events)
 select file, upper(key) as key, max_by(value, pos) as value from t where not starts_with(upper(key), 'TRACK_NAME') group by file, upper(key)""")
 def tags_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    e = A.table(spark, d, "events")
+    return B.tags_last(_tags(spark, d))
+
+
+@query("""select user_id as file, event_id as pos, '1' as track, props::json->>'$.k' as value from events where event_type = 'error'""")
+def tags_tracks(spark: SparkSession, d: str) -> DataFrame:
+    return B.tags_tracks(_tags(spark, d))
+
+
+def _tags(spark: SparkSession, d: str) -> DataFrame:
+    """events as tags of files."""
     t = F.col("event_type")
-    key = F.when(t == "view", "Title").when(t == "click", "artist").when(t == "error", "TRACK_NAME_1").when(t == "signup", "TITLE").otherwise("Comment")
-    return B.tags_last(e.select(F.col("user_id").alias("file"), F.col("event_id").alias("pos"), key.alias("key"), F.get_json_object("props", "$.k").alias("value")))
+    key = F.when(t == "view", "Title").when(t == "click", "artist").when(t == "error", "track_name_1").when(t == "signup", "TITLE").otherwise("Comment")
+    return A.table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("pos"), key.alias("key"), F.get_json_object("props", "$.k").alias("value"))
