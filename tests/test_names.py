@@ -121,3 +121,28 @@ def test_folder_globs_and_presets():
     assert g.matches("Build", True) and not g.matches("build", False)
     assert any(x.matches(".ds_store", False) for x in G.compile_patterns([], ("system",)))
     assert not any(x.matches("take.wav", False) for x in G.compile_patterns([], ("system", "daw_cache")))
+
+
+def test_minutes_of_far_years(spark):
+    seconds = [-400_000_000, -1, 0, 253_402_300_799, 253_402_300_800, 899_626_588_997, -62_135_596_801, -62_167_219_201, -65_961_907_200, None]
+    want = ["1957-04-29 08:53", "1969-12-31 23:59", "1970-01-01 00:00", "9999-12-31 23:59", "10000-01-01 00:00", "30478-01-11 18:43", "0000-12-31 23:59", "-1-12-31 23:59", "-121-10-02 00:00", None]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert [r[0] for r in table(spark, seconds, type_="long").select(D.minute_text(F.col("s"))).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_time_format_equals_sql_beyond_year_9999(spark, tmp_path):
+    import duckdb
+
+    from shelfmark.plans import catalogue
+
+    keys = [0, 1, 149_999, 2_537_946, 2_537_947, 2_538_000, 8_999_999, -600_000, -630_000, None]
+    spark.createDataFrame([(k, n, n * 7) for n, k in enumerate(keys)], "l_orderkey long, l_linenumber int, l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [tuple(r) for r in catalogue.queries()["time_format"](spark, str(tmp_path)).orderBy("l_linenumber").collect()]
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == c.execute(catalogue.oracle_sql()["time_format"] + " order by l_linenumber").fetchall()
