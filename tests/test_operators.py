@@ -191,3 +191,40 @@ def test_streamed_totals_equal_batch_totals(spark, tmp_path):
     got = {r["folder"]: (r["files"], r["size"]) for r in spark.table("totals").collect()}
     want = {r["folder"]: (r["files"], r["size"]) for r in T.folder_totals(df).collect()}
     assert got == want and len(want) == 20
+
+
+def test_segments_plan_takes_little_disk(spark, tmp_path):
+    from shelfmark.plans import catalogue, codec_queries
+
+    key = F.col("id")
+    rows = spark.range(200_000, numPartitions=1).select(key.alias("l_orderkey"), (key % 7 + 1).cast("int").alias("l_linenumber"), F.lit(1.0).alias("l_quantity"), (F.pmod(F.xxhash64("id"), F.lit(100_000)) + 5000).alias("l_partkey"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen = {}
+    for name, df in (("plain", S.segments(codec_queries._big(spark, str(tmp_path)))), ("query", catalogue.queries()["segments_plan"](spark, str(tmp_path)))):
+        df.write.parquet(f"{tmp_path}/{name}")
+        seen[name] = spark.read.parquet(f"{tmp_path}/{name}").select(F.count("*"), F.sum(F.xxhash64("entry", "seg", "first", "last").cast("decimal(38,0)"))).first()
+    took = {name: sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet")) for name in seen}
+    assert seen["query"] == seen["plain"] and seen["query"][0] > 7_000_000
+    assert took["query"] < seen["query"][0] * 0.6 and took["query"] * 2 < took["plain"]
+
+
+def test_segments_plan_equals_sql_on_odd_rows(spark, tmp_path):
+    """No quantity, no part, nothing and less than nothing, one row twice, sizes around 4 MiB and whole numbers of pieces."""
+    import duckdb
+
+    from shelfmark.plans import catalogue
+
+    rows = [(1, 1, None, 7), (1, 2, 5.0, None), (2, 1, 0.0, 9), (2, 3, -4.0, 9), (3, 1, 50.0, 20_000), (3, 1, 50.0, 20_000), (4, 3, 50.0, 20_000), (None, 1, 30.0, 400), (5, None, 30.0, 400)]
+    rows += [(k, n, q, k) for k in (4206, 4207, 8413, 8414, 1048576, 4194304) for n in (1, 3) for q in (1.0, 2.0)]
+    rows += [(10_000_000 + k, 1 + k % 7, 1.0 + k % 3, 6000 + k % 5) for k in range(2000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    order = lambda found: sorted(found, key=repr)
+    got = catalogue.queries()["segments_plan"](spark, str(tmp_path))
+    assert [t for _, t in got.dtypes] == ["bigint", "int", "bigint", "bigint"]
+    assert order(tuple(r) for r in got.collect()) == order(c.execute(catalogue.oracle_sql()["segments_plan"]).fetchall())
+
+
+def test_packed_segments_of_nothing(spark):
+    assert S.packed_segments(frame(spark, [], "entry long, size long, method int")).collect() == []
