@@ -228,3 +228,37 @@ def test_segments_plan_equals_sql_on_odd_rows(spark, tmp_path):
 
 def test_packed_segments_of_nothing(spark):
     assert S.packed_segments(frame(spark, [], "entry long, size long, method int")).collect() == []
+
+
+def test_segments_plan_is_written_as_differences_in_row_groups(spark, tmp_path):
+    """Rows of less than a byte: with dictionaries and row groups by size alone, Parquet's writer looks at the sizes after every row."""
+    from pyarrow.parquet import ParquetFile
+
+    from shelfmark.plans import catalogue
+
+    key = F.col("id")
+    rows = spark.range(30_000, numPartitions=1).select(key.alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(50.0).alias("l_quantity"), (F.pmod(key * 7919, F.lit(3000)) + 2000).alias("l_partkey"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.getAll
+    got = catalogue.queries()["segments_plan"](spark, str(tmp_path))
+    assert spark.conf.getAll == before and {k: got.sparkSession.conf.get(k) for k in before} == before | {k: v for k, v in S.PACKING.items() if k in before}
+    got.write.parquet(f"{tmp_path}/out")
+    files = [ParquetFile(p) for p in (tmp_path / "out").glob("*.parquet")]
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == got.count() > S.GROUP_ROWS >= max(g.num_rows for g in groups)
+    assert {e for g in groups for k in range(4) for e in g.column(k).encodings if e != "RLE"} == {"DELTA_BINARY_PACKED"}
+    assert all(f.schema.column(k).max_definition_level == 0 for f in files for k in range(4))
+    rows.limit(10).write.parquet(f"{tmp_path}/other")
+    assert "DELTA_BINARY_PACKED" not in {e for p in (tmp_path / "other").glob("*.parquet") for k in range(4) for e in ParquetFile(p).metadata.row_group(0).column(k).encodings}
+
+
+def test_packed_segments_deals_out_a_large_task_only(spark):
+    one = spark.range(4000).select(F.col("id").alias("entry"), F.lit(1 << 33).alias("size"), F.lit(8).alias("method")).coalesce(1)
+    even = spark.range(0, 4000, 1, 4).select(F.col("id").alias("entry"), F.lit(1 << 20).alias("size"), F.lit(8).alias("method"))
+    for entries, dealt in ((one, True), (even, False)):
+        packed = S.packed_segments(entries)
+        assert ("Exchange" in packed._jdf.queryExecution().executedPlan().toString()) == dealt
+        count = packed.select(F.count("*"), F.countDistinct("entry"), F.sum(F.col("last") - F.col("first"))).first()
+        assert tuple(count) == (4000 * (8192 if dealt else 1), 4000, 4000 * (1 << (33 if dealt else 20)))
+    nameless = S.packed_segments(frame(spark, [(None, 5 << 20, 0), (1, 7, 8), (2, None, 8)], "entry long, size long, method int"))
+    assert sorted(map(tuple, nameless.collect()), key=repr) == sorted([(None, 0, 0, 4 << 20), (None, 1, 4 << 20, 5 << 20), (1, 0, 0, 7)], key=repr)
